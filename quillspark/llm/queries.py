@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_index, simhash
+from . import exact_index, packing, simhash
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -38,3 +38,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), radius=4, width=4)
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *paths, size=1024, end_id=2)
