@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_index, packing, simhash
+from . import exact_index, packing, simhash, suffix_dedup
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -50,3 +50,8 @@ def vocabulary(name: str) -> str:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
     return packing.pack_documents(table(spark, sf_dir, "documents"), *paths, size=1024, end_id=2)
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), span=100).drop("kept")
