@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_index, packing, simhash, suffix_dedup
+from . import exact_index, packing, simhash, suffix_dedup, toxicity
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -55,3 +55,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), span=100).drop("kept")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), rows=6000)
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
