@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_index, packing, simhash, suffix_dedup, toxicity
+from . import chat, exact_index, packing, reputation, simhash, suffix_dedup, toxicity
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -62,3 +62,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), rows=6000)
     return toxicity.score(docs, model, threshold=0.3).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op2_chat_formatting")
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_conversations(turns))
+
+
+URL_RULES = [
+    reputation.Rule("block", "com", "/en/"),
+    reputation.Rule("allow", "example.com", "/en/7"),
+    reputation.Rule("allow", "net", "/de/"),
+    reputation.Rule("block", "example.net", "/de/8"),
+    reputation.Rule("block", "org", "/es/"),
+]
+
+
+@query("op3_url_filters")
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that carry a page's number are its outcome: low quality is a bad page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    outcomes = pages.join(labels, "page_id").select("url", "bad")
+    return reputation.judge(pages, outcomes, URL_RULES, limit=0.25).select("page_id", "host", "path", "rule", "verdict")
