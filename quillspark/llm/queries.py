@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_index, packing, reputation, simhash, suffix_dedup, toxicity
+from . import chat, exact_index, packing, paragraph_sketch, reputation, simhash, suffix_dedup, toxicity
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +88,8 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     outcomes = pages.join(labels, "page_id").select("url", "bad")
     return reputation.judge(pages, outcomes, URL_RULES, limit=0.25).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_document_fingerprints")
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
