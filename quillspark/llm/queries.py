@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_index, packing, paragraph_sketch, reputation, simhash, suffix_dedup, toxicity
+from . import chat, exact_index, licences, mixing, packing, paragraph_sketch, reputation, simhash, suffix_dedup, toxicity
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -93,3 +93,26 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_document_fingerprints")
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+# Target marginals of the mixture: a number tempers a dimension's own token shares by that power.
+MIX_TARGETS = {"source": 0.7, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.5}
+MIX_BUDGET = 0.6  # of all tokens, in expectation
+
+
+@query("op8_mixing_sources")
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_BUDGET)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+
+
+@query("op5_licence_scans")
+def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"), least=0.8)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -214,5 +214,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return known.unionByName(rows.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
+    """The document with the smallest doc_id of each group, with all its columns.
+
+    Rows that share a doc_id stay or go together; rows with a null doc_id stay.
+    """
+    groups = near_groups(docs, id_col, text_col, radius, width)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
