@@ -158,12 +158,18 @@ def differences(pairs: DataFrame) -> DataFrame:
     digests. Equal pairs leave no cell, and so no row.
     """
     level, left, done = 0, pairs, None
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(cells: DataFrame) -> DataFrame:
+        """Written and dealt out by bucket again, so that the rounds to come need no shuffle."""
+        return store(cells, "cells").repartition(parts, "bucket")
+
     while True:
         sized = left.withColumns({"size": (F.ceil((F.size("a") + F.size("b")) * (1 << level) / 2) + 4).cast("int"), "salt": F.lit(level)})
         cells = _cells(sized)
         for _ in range(ROUNDS):
             cells = _peel(cells)
-        cells = store(cells, "cells")
+        cells = kept(cells)
         while True:
             # a pair is stuck when a round changes none of its cells
             stuck = cells.where("n <> 0 OR x <> 0 OR s <> 0")
@@ -172,7 +178,7 @@ def differences(pairs: DataFrame) -> DataFrame:
                 break
             for _ in range(ROUNDS):
                 cells = _peel(cells)
-            cells = store(cells, "cells")
+            cells = kept(cells)
         solved = cells.groupBy("bucket", "id", "pair").agg(F.sum("found").alias("differing"), F.max((F.col("n") != 0) | (F.col("x") != 0) | (F.col("s") != 0)).alias("open"))
         solved = store(solved, "solved")
         closed = solved.where("NOT open").select("id", "pair", "differing")
@@ -180,7 +186,7 @@ def differences(pairs: DataFrame) -> DataFrame:
         retry = solved.where("open").select("id", "pair")
         if retry.isEmpty():
             return done
-        left = store(left.join(retry, ["id", "pair"], "left_semi"), "retry")
+        left = store(left.join(retry, ["id", "pair"], "left_semi"), "retry").repartition(parts, "bucket")
         level += 1
 
 
