@@ -1,0 +1,32 @@
+"""The few text functions that stateful operators need inside Arrow batches, equal to their columns."""
+
+from __future__ import annotations
+
+import math
+import re
+
+from .text import CHARS_PER_TOKEN, TOKENS_PER_WORD
+
+BREAKS = re.compile(r"(?<=[.!?;:])\s+|\n{2,}")
+
+
+def token_count(text: str) -> int:
+    return max(1, math.ceil(max(len(text) / CHARS_PER_TOKEN, len(text.split()) * TOKENS_PER_WORD))) if text else 0
+
+
+def sentences(text: str) -> list[str]:
+    return list(filter(None, map(str.strip, BREAKS.split(text))))
+
+
+def pieces(text: str, target: int) -> list[str]:
+    """Sentences gathered greedily into pieces of at most `target` tokens (a long one stands alone)."""
+    out: list[list[str]] = [[]]
+    used = 0
+    for s in sentences(text):
+        cost = token_count(s)
+        if out[-1] and used + cost > target:
+            out.append([])
+            used = 0
+        out[-1].append(s)
+        used += cost
+    return [" ".join(p) for p in out if p] or [text]
