@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.3 or more go; the model learns from labels of rows that are not held out."""
-    model = toxicity.train(docs, table(ready(spark), sf_dir, "labels"), rows=6000)
+    model = toxicity.train(docs, table(ready(spark), sf_dir, "labels"), rows=4000)
     return toxicity.score(docs.select(*COLUMNS), model, threshold=0.3).where("predicted = 0").select(*COLUMNS)
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,10 +109,15 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, epochs:
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::4]] = True
-    docs = [np.array([vocabulary.setdefault(w.strip(STRIP), len(vocabulary)) for w in tokens(t)], np.int64) for t in texts]
-    rows = [subwords(w) if w else [0] for w in vocabulary]
-    sizes = np.array([len(r) for r in rows])
-    flat, begin = np.concatenate([np.array(r) for r in rows]), np.cumsum(sizes) - sizes
+    docs = [np.array([vocabulary.setdefault(w.strip(STRIP), len(vocabulary)) for w in tokens(t)], np.int32) for t in texts]
+    packed, sizes = array("I"), array("I")  # plain numbers: lists of them would fill the driver
+    for w in vocabulary:
+        grams = subwords(w) if w else [0]
+        packed.extend(grams)
+        sizes.append(len(grams))
+    flat, sizes = np.frombuffer(packed, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    del vocabulary
 
     table = rng.normal(0, 0.01, (BUCKETS, DIM))
     out = rng.normal(0, GAIN, (2, DIM))
@@ -204,9 +210,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for c in (0, 1)]
     both = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most `rows` ids
-    got = docs.select("doc_id", "text").join(both, "doc_id").select("doc_id", "text", "toxic").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
-    return [r["text"] or "" for r in got], [r["toxic"] for r in got], known.agg(F.avg("toxic")).first()[0]
+    got = docs.select("doc_id", "text").join(both, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    got = got.sort_by([(c, "ascending") for c in got.column_names])
+    return got["text"].to_pylist(), got["toxic"].to_pylist(), known.agg(F.avg("toxic")).first()[0]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -232,5 +238,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
     return fit(*labelled_sample(docs, labels, rows))
