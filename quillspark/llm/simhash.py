@@ -165,7 +165,7 @@ def link_forest(nodes: DataFrame, radius: int = 4, blocks: int | None = None, ce
     own = tiles.select("block", "value", F.col("tile_pop").alias("pop"), F.col("parts").alias("own_parts"))
     rows = dealt.join(own, ["block", "value", "pop"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("own_parts")).cast("int"))
     others = tiles.select("block", "value", "tile_pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile_part"))
-    mine, other = F.col("pop") * 1_000_000 + F.col("part"), F.col("tile_pop") * 1_000_000 + F.col("tile_part")
+    mine, other = (F.col(a).cast("long") * 1_000_000 + F.col(b) for a, b in (("pop", "part"), ("tile_pop", "tile_part")))
     first, second = F.least(mine, other), F.greatest(mine, other)
     split = (
         rows.join(others, ["block", "value"])
@@ -179,7 +179,7 @@ def link_forest(nodes: DataFrame, radius: int = 4, blocks: int | None = None, ce
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, for every node that has a link.
+    """(node, component): smallest node reachable, for every linked node that is not itself smallest.
 
     Alternating large-star and small-star steps; each round cuts its lineage in the shared folder
     and stops when the links no longer change.
