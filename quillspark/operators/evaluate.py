@@ -199,7 +199,7 @@ def naive_grounding(answers: DataFrame, context: DataFrame) -> DataFrame:
     return validate(answers, evidence, ValidationPolicy(need_citations=False))
 
 
-SPEED_ROW = r"\|\s*([^|]+?)\s*\|[^\n]*?\|\s*(pp\d+|tg\d+)\s*\|\s*([\d.]+)\s*±\s*([\d.]+)\s*\|"
+SPEED_ROW = r"(?m)^\|\s*([^|\n]+?)\s*\|[^\n]*?\|\s*(pp\d+|tg\d+)\s*\|\s*([\d.]+)\s*±\s*([\d.]+)\s*\|"
 
 
 def parse_speed(reports: DataFrame, text: str = "text") -> DataFrame:

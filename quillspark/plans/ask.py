@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +24,17 @@ class Answers:
     metrics: DataFrame
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Cache what several stages read; a lost part is computed again from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prepare(docs: DataFrame, near: bool = True) -> dict[str, DataFrame]:
     """Units of normalised documents, compacted; computed once for all questions."""
-    units = segment.units(docs)
-    if near:
-        return context.compact(units)
-    exact = context.drop_exact(context.drop_noise(units))
-    return {"input": units, "exact": exact, "merged": context.merge_fragments(exact)}
+    units = keep(segment.units(docs))
+    exact = keep(context.drop_exact(context.drop_noise(units)))
+    left = context.drop_near(exact) if near else exact
+    return {"input": units, "exact": exact, "merged": keep(context.merge_fragments(left))}
 
 
 def observe(questions: DataFrame, ram_mb: float | None = None, celsius: float | None = None, cpu: float | None = None) -> DataFrame:
@@ -41,11 +46,11 @@ def observe(questions: DataFrame, ram_mb: float | None = None, celsius: float |
 def ask(stages: dict[str, DataFrame], questions: DataFrame, context_tokens: int = 4096, output_tokens: int = 512, backend=prompt.extractive_answer) -> Answers:
     """questions: question_id long, question."""
     units = stages["merged"]
-    asked = context.budget(context.classify_intent(observe(questions)), context_tokens, output_tokens)
-    pool = retrieval.ranked(units, asked.select("question_id", "question"))
-    evidence = retrieval.select_diverse(pool, asked)
+    asked = keep(context.budget(context.classify_intent(observe(questions)), context_tokens, output_tokens))
+    pool = retrieval.ranked(units, asked.select("question_id", "question"), post=keep(retrieval.postings(units)))
+    evidence = keep(retrieval.select_diverse(pool, asked))
     prompts = prompt.build_prompt(prompt.render_evidence(evidence, questions), context_tokens, output_tokens)
-    answers = backend(prompts, evidence)
+    answers = keep(backend(prompts, evidence))
     reports = validate.validate(answers, evidence)
     rows = metrics.assemble(questions, context.compaction_report({"input": stages["input"], "merged": units}), evidence, answers, reports, retrieval.precision(evidence, questions))
     return Answers(units, asked, evidence, prompts, answers, reports, rows)

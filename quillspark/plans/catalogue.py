@@ -437,7 +437,7 @@ def merge_fragments(spark, sf_dir):
 
 @query("compaction_report")
 def compaction_report(spark, sf_dir):
-    return context.compaction_report(context.compact(segment.units(sectioned(spark, sf_dir))))
+    return context.compaction_report(ask_plan.prepare(sectioned(spark, sf_dir)))
 
 
 # -- R: retrieval -----------------------------------------------------------------------
@@ -521,7 +521,7 @@ def _evidence(spark, sf_dir):
     q = questions(spark, sf_dir)
     asked = context.budget(context.classify_intent(ask_plan.observe(q)))
     pool = retrieval.ranked(document_units(spark, sf_dir), q, gate=False)
-    return q, asked, retrieval.select_diverse(pool, asked)
+    return q, asked, ask_plan.keep(retrieval.select_diverse(pool, asked))
 
 
 @query("mmr_select")
@@ -605,8 +605,8 @@ GROUND = f"""
     judged AS (SELECT *, {sql_content('sentence')} AS w FROM each_),
     grams AS (SELECT question_id, n, sentence, {sql_grams('w', 3)} AS g FROM judged WHERE len(w) >= 3 AND question_id IN (SELECT question_id FROM evidence)),
     held AS (SELECT question_id, pick, label, {sql_grams(sql_content('text'), 3)} AS g FROM evidence),
-    overlaps AS (SELECT a.question_id, n, pick, label, len(list_intersect(a.g, h.g))::DOUBLE / len(a.g) AS o FROM grams a JOIN held h USING (question_id)),
-    best AS (SELECT question_id, n, max(o) AS o, arg_max(label, o - pick * 1e-9) AS label FROM overlaps GROUP BY 1, 2),
+    shared AS (SELECT a.question_id, n, pick, label, len(list_intersect(a.g, h.g))::DOUBLE / len(a.g) AS o FROM grams a JOIN held h USING (question_id)),
+    best AS (SELECT question_id, n, max(o) AS o, arg_max(label, o - pick * 1e-9) AS label FROM shared GROUP BY 1, 2),
     verdicts AS (SELECT g.question_id, g.n, g.sentence, CASE WHEN o > 0 THEN label ELSE '' END AS label, o FROM grams g JOIN best USING (question_id, n))
 """
 
