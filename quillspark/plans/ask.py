@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import context, metrics, prompt, retrieval, segment, validate
+from .keep import keep
 
 
 @dataclass
 class Answers:
-    """What each stage of a batch of questions gave, lazily."""
+    """What each stage of a batch of questions gave."""
 
     units: DataFrame
     questions: DataFrame
@@ -24,16 +24,11 @@ class Answers:
     metrics: DataFrame
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cache what several stages read; a lost part is computed again from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def prepare(docs: DataFrame, near: bool = True) -> dict[str, DataFrame]:
     """Units of normalised documents, compacted; computed once for all questions."""
     units = keep(segment.units(docs))
     exact = keep(context.drop_exact(context.drop_noise(units)))
-    left = context.drop_near(exact) if near else exact
+    left = keep(context.drop_near(exact)) if near else exact
     return {"input": units, "exact": exact, "merged": keep(context.merge_fragments(left))}
 
 
@@ -51,7 +46,7 @@ def ask(stages: dict[str, DataFrame], questions: DataFrame, context_tokens: int
     evidence = keep(retrieval.select_diverse(pool, asked))
     prompts = prompt.build_prompt(prompt.render_evidence(evidence, questions), context_tokens, output_tokens)
     answers = keep(backend(prompts, evidence))
-    reports = validate.validate(answers, evidence)
+    reports = keep(validate.validate(answers, evidence))
     rows = metrics.assemble(questions, context.compaction_report({"input": stages["input"], "merged": units}), evidence, answers, reports, retrieval.precision(evidence, questions))
     return Answers(units, asked, evidence, prompts, answers, reports, rows)
 

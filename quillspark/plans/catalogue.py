@@ -835,13 +835,18 @@ def ask_batch(spark, sf_dir):
     return ask_plan.ask(ask_plan.prepare(docs), questions(spark, sf_dir)).metrics
 
 
-@query("stream_statistics")
+@query(
+    "stream_statistics",
+    """WITH d AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+       SELECT start, event_type, count(value) AS samples, round(sum(value), 4) AS total, round(min(value), 4) AS minimum, round(max(value), 4) AS maximum
+       FROM d, m WHERE start + INTERVAL 1 DAY <= mark GROUP BY 1, 2""",
+)
 def stream_statistics(spark, sf_dir):
     """The stream's closed windows, by one available-now trigger over the events table."""
     import uuid
 
     name = f"stats_{uuid.uuid4().hex}"
-    stream = telemetry.windowed_statistics(telemetry.read_events(spark, sf_dir, schema=read(spark, sf_dir, "events").schema))
-    run = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    events = telemetry.read_events(spark, sf_dir, schema=read(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    run = telemetry.windowed_statistics(events).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).drop("p95", "mean", "stdev").withColumn("start", F.col("start").cast("timestamp_ntz"))

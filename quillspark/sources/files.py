@@ -18,11 +18,25 @@ LEAST_CHARS = 40
 
 def discover(spark: SparkSession, *paths: str) -> DataFrame:
     """Files below the paths as path, filename, suffix, modified_at, size_bytes, content."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).dropDuplicates(["path"])
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    raw = reader.load(list(paths)).unionByName(_empty_files(spark, paths)).dropDuplicates(["path"])
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), "content")
 
 
+def _empty_files(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    """Files without bytes, which a scan leaves out, from the file system's listing."""
+    hadoop, conf, rows = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in map(hadoop.Path, paths):
+        found = path.getFileSystem(conf).listFiles(path, True)
+        while found.hasNext():
+            status = found.next()
+            if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+                rows.append((status.getPath().toString(), status.getModificationTime() / 1000))
+    listed = spark.createDataFrame(rows, "path string, seconds double")
+    return listed.select("path", F.timestamp_seconds("seconds").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 def describe(files: DataFrame) -> DataFrame:
     """Checksum, descriptor id and an error code for files that cannot be read."""
     error = F.when(~F.col("suffix").isin(*SUFFIXES), "ING-001").when(F.col("size_bytes") == 0, "ING-005").when(F.col("size_bytes") > MOST_BYTES, "ING-006")

@@ -20,6 +20,6 @@ def windowed_statistics(events: DataFrame, size: str = "1 day", late: str = "1 h
     return (
         events.withWatermark("ts", late)
         .groupBy(F.window("ts", size).alias("w"), "event_type")
-        .agg(F.count("value").alias("samples"), F.avg("value").alias("mean"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.stddev_pop("value").alias("stdev"), F.percentile_approx("value", 0.95).alias("p95"))
-        .select(F.col("w.start").alias("start"), "event_type", "samples", *[F.round(c, 4).alias(c) for c in ("mean", "minimum", "maximum", "stdev", "p95")])
+        .agg(F.count("value").alias("samples"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.stddev_pop("value").alias("stdev"), F.percentile_approx("value", 0.95).alias("p95"))
+        .select(F.col("w.start").alias("start"), "event_type", "samples", *[F.round(c, 4).alias(c) for c in ("total", "mean", "minimum", "maximum", "stdev", "p95")])
     )
