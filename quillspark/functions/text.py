@@ -182,7 +182,7 @@ def numeric_signature(text: Column) -> Column:
     """Sorted distinct figures of a text, normalised."""
     found = F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\d[\d\s.,%]*"), 0), lambda x: F.regexp_replace(x, r"^[ .,]+|[ .,]+\z", "") != "")
     clean = F.transform(found, lambda x: F.replace(F.regexp_replace(F.replace(x, F.lit(" "), F.lit("")), r"[.,]+\z", ""), F.lit(","), F.lit(".")))
-    return F.array_sort(F.array_distinct(clean))
+    return F.sort_array(F.array_distinct(clean))
 
 
 # -- T12 to T18 -------------------------------------------------------------------------
@@ -226,7 +226,7 @@ CITATION = r"\[(S\d+)\]"
 
 def citations(answer: Column) -> Column:
     """Sorted distinct labels cited."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(answer, F.lit(CITATION), 1)))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(answer, F.lit(CITATION), 1)))
 
 
 def strip_citations(answer: Column) -> Column:

@@ -21,7 +21,7 @@ def classify_intent(questions: DataFrame, question: str = "question") -> DataFra
 
     def hits(markers) -> Column:
         found = [F.when(F.contains(padded, F.lit(" " + m)) | F.contains(padded, F.lit(m + " ")), F.lit(m)) for m in markers]
-        return F.array_sort(F.array_compact(F.array(*found)))
+        return F.sort_array(F.array_compact(F.array(*found)))
 
     # names are in alphabetical order, which is the order that breaks ties
     scored = F.array(*[F.struct(F.lit(k).alias("intent"), hits(m).alias("signals")) for k, m in sorted(W.INTENT_MARKERS.items())])
@@ -161,10 +161,11 @@ def near_pairs(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFram
     Exact: sets of Jaccard >= t share one of their size - ceil(t size) + 1 smallest grams. The
     join key holds bucket, figures and that gram, so a common bucket is split by its grams.
     """
-    rows = _fingerprinted(units)
+    # dealt out once; the sides of the joins read the same exchange
+    rows = _fingerprinted(units).repartition(*ORDER)
     size = F.size("grams")
     # a tiny slack keeps rounding from shortening the prefix
-    prefix = F.slice(F.array_sort("grams"), 1, size - F.ceil(size * F.lit(p.alike) - 1e-9).cast("int") + 1)
+    prefix = F.slice(F.sort_array("grams"), 1, size - F.ceil(size * F.lit(p.alike) - 1e-9).cast("int") + 1)
     keyed = rows.withColumn("n", size).withColumn("gram", F.explode(prefix))
     a = keyed.select(*[F.col(c).alias(f"a_{c}") for c in (*ORDER, "token_estimate", "n")], "bucket", "figures", "gram")
     b = keyed.select(*[F.col(c).alias(f"b_{c}") for c in (*ORDER, "token_estimate", "n")], "bucket", "figures", "gram")

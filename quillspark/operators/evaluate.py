@@ -180,7 +180,7 @@ def naive_context(units: DataFrame, window: int) -> DataFrame:
     spent = F.coalesce(F.sum("chars").over(Window.orderBy("document_name", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = per_doc.withColumn("before", spent).where(F.col("before") <= int(window * T.CHARS_PER_TOKEN * 2) + 2).select("doc_id", "document_name")
     head = units.join(near, ["doc_id", "document_name"], "left_semi").withColumn("n", F.row_number().over(order)).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("head")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("head")
     )
     cut = F.when(F.col("corpus_tokens") <= window, F.col("head")).otherwise(T.truncate_to_tokens(F.col("head"), window))
     rows = head.crossJoin(all_.select(total)).select(cut.alias("context"), "corpus_tokens").withColumn("context_tokens", T.token_count(F.col("context")))

@@ -37,7 +37,7 @@ def render_evidence(evidence: DataFrame, questions: DataFrame, most_chars: int =
     order = Window.partitionBy("question_id").orderBy("pick")
     rows = evidence.select("question_id", "pick", "label", block.alias("block"))
     rows = rows.withColumn("chars", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("chars") <= most_chars)
-    kept = F.array_sort(F.collect_list(F.struct("pick", "label", "block")))
+    kept = F.sort_array(F.collect_list(F.struct("pick", "label", "block")))
     grouped = rows.groupBy("question_id").agg(kept.alias("kept"))
     shown = grouped.select("question_id", F.array_join(F.transform("kept", lambda x: x["block"]), "\n\n").alias("excerpts"), F.transform("kept", lambda x: x["label"]).alias("labels"))
     out = questions.join(shown, "question_id", "left")
@@ -68,7 +68,7 @@ def unlabelled_answer(question: Column, body: Column) -> Column:
     pieces = F.filter(F.transform(F.split(body, r"(?U)(?<=[.!?])\s+|\n"), T.strip), lambda s: F.length(s) > 25)
     wanted = F.array_distinct(T.content_words(question))
     overlap = lambda s: F.size(F.array_intersect(wanted, T.content_words(s)))
-    scored = F.array_sort(F.transform(pieces, lambda s, i: F.struct((-overlap(s)).alias("o"), F.array_position(pieces, s).alias("i"), s.alias("s"))))
+    scored = F.sort_array(F.transform(pieces, lambda s, i: F.struct((-overlap(s)).alias("o"), F.array_position(pieces, s).alias("i"), s.alias("s"))))
     top = F.array_join(F.transform(F.slice(scored, 1, 2), lambda x: x["s"]), " ")
     plain = F.array_join(F.slice(pieces, 1, 2), " ")
     # the language of a refusal follows the prompt's wording

@@ -44,9 +44,9 @@ def ground_sentences(answers: DataFrame, evidence: DataFrame, p: ValidationPolic
 def validate(answers: DataFrame, evidence: DataFrame, p: ValidationPolicy = ValidationPolicy()) -> DataFrame:
     """V1 to V9: one report per answer. answers: question_id, question, answer."""
     verdicts = ground_sentences(answers, evidence, p)
-    failed = F.array_sort(F.collect_list(F.when(~F.col("grounded"), F.struct("n", T.strip(F.col("sentence")).alias("s")))))
+    failed = F.sort_array(F.collect_list(F.when(~F.col("grounded"), F.struct("n", T.strip(F.col("sentence")).alias("s")))))
     judged = verdicts.groupBy("question_id").agg(F.round(F.avg(F.col("grounded").cast("double")), 4).alias("rate"), failed.alias("failed"))
-    labels = evidence.groupBy("question_id").agg(F.array_sort(F.collect_set("label")).alias("available"))
+    labels = evidence.groupBy("question_id").agg(F.sort_array(F.collect_set("label")).alias("available"))
     rows = answers.select("question_id", "question", T.strip(F.coalesce(F.col("answer"), F.lit(""))).alias("answer"))
     rows = rows.join(judged, "question_id", "left").join(labels, "question_id", "left")
     none = F.array().cast("array<string>")

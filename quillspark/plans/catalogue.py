@@ -159,7 +159,7 @@ def text_sentences(spark, sf_dir):
 @query("text_shingles", f"WITH {TERMS}, g AS (SELECT doc_id, {sql_grams('w', 4)} AS g FROM terms) SELECT doc_id, len(g) AS n_shingles, sha256(array_to_string(list_sort(g), '|')) AS shingles_sha FROM g")
 def text_shingles(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", T.shingles(F.col("text")).alias("g"))
-    return d.select("doc_id", F.size("g").alias("n_shingles"), T.sha(F.array_join(F.array_sort("g"), "|")).alias("shingles_sha"))
+    return d.select("doc_id", F.size("g").alias("n_shingles"), T.sha(F.array_join(F.sort_array("g"), "|")).alias("shingles_sha"))
 
 
 @query(

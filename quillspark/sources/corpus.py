@@ -105,8 +105,8 @@ def snapshot(units: DataFrame, key: str = "document_id") -> DataFrame:
     The checksum is a hash of hashes: units within their document, documents within the corpus, so
     the driver-side list holds one digest for each document.
     """
-    parts = units.groupBy(key).agg(F.count("*").alias("n"), F.sum("token_estimate").alias("t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "checksum"))), lambda x: x["checksum"]), "|").alias("c"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("c")))), lambda x: x["c"]), "|")
+    parts = units.groupBy(key).agg(F.count("*").alias("n"), F.sum("token_estimate").alias("t"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "checksum"))), lambda x: x["checksum"]), "|").alias("c"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key), F.col("c")))), lambda x: x["c"]), "|")
     return parts.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("units"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.sha2(joined, 256).alias("corpus_checksum"))
 
 
