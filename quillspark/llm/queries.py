@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +66,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.3).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-@query("op2_chat_formatting")
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def _chat_sql() -> str:
+    """Digests straight from the turns; a backslash adds one character to the output, a broken
+    control string two."""
+    controls = "|".join(re.escape(c).replace("/", "/") for c in chat.CONTROLS)
+    added = lambda x: f"length({x}) + len(regexp_extract_all({x}, '\\\\')) + 2 * len(regexp_extract_all({x}, '{controls}'))"
+    marks = len(chat.OPEN) + len(chat.SAYS) + len(chat.END)
+    return f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}'))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum({marks} + {added("role")} + {added("text")})::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id
+    """
+
+
+@query("op2_chat_formatting", _chat_sql())
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(chat.format_conversations(turns))
 
@@ -81,13 +102,45 @@ URL_RULES = [
 ]
 
 
-@query("op3_url_filters")
+def _reputation_sql(limit: float, z: float = 1.645) -> str:
+    def shrunk(level: str, keys: str, above: str, p0: str) -> str:
+        """A level's posteriors: the prior's strength by moments over its groups, centred on p0."""
+        return f"""
+        {level}_0 AS (SELECT {keys}, sum(k) AS k, sum(n) AS n, any_value(p0) AS p0 FROM (SELECT c.*, {p0} AS p0 FROM counts c {above}) GROUP BY {keys}),
+        {level}_m AS (SELECT sum((k - n * p0) ** 2 - n * p0 * (1 - p0)) AS over, sum(n * (n - 1) * p0 * (1 - p0)) AS room FROM {level}_0),
+        {level}_s AS (SELECT 1 / CASE WHEN coalesce(room, 0) = 0 THEN 0.5::DOUBLE ELSE least(0.9::DOUBLE, greatest(0.001::DOUBLE, over / room)) END - 1 AS strength FROM {level}_m),
+        {level}_p AS (SELECT {keys}, p0 * strength + k AS a, (1 - p0) * strength + n - k AS b FROM {level}_0, {level}_s)"""
+
+    two = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
+    long_ = "(" + ", ".join(f"'{x}'" for x in reputation.LONG_SUFFIXES) + ")"
+    rule = " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r}={r.verdict}'"
+        for r in sorted(URL_RULES, key=lambda r: (-len(r.host) - len(r.path), -len(r.host)))
+    )
+    return f"""
+    WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    pages_ AS (SELECT *, CASE WHEN {two} IN {long_} THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {two} END AS domain, CASE WHEN {two} IN {long_} THEN {two} ELSE string_split(host, '.')[-1] END AS suffix FROM u),
+    counts AS (SELECT suffix, domain, host, sum(1 - quality)::DOUBLE AS k, count(quality)::DOUBLE AS n FROM pages_ JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY 1, 2, 3),
+    corpus AS (SELECT coalesce(sum(k), 0) + 0.5::DOUBLE AS a, coalesce(sum(n) - sum(k), 0) + 0.5::DOUBLE AS b FROM counts),
+    {shrunk("s", "suffix", "CROSS JOIN corpus", "corpus.a / (corpus.a + corpus.b)")},
+    {shrunk("d", "suffix, domain", "JOIN s_p USING (suffix)", "s_p.a / (s_p.a + s_p.b)")},
+    {shrunk("h", "suffix, domain, host", "JOIN d_p USING (suffix, domain)", "d_p.a / (d_p.a + d_p.b)")},
+    j AS (SELECT p.page_id, p.host, path, CASE {rule} END AS r, coalesce(h.a, d.a, s.a, c.a) AS a, coalesce(h.b, d.b, s.b, c.b) AS b
+          FROM pages_ p LEFT JOIN h_p h USING (host) LEFT JOIN d_p d ON d.domain = p.domain LEFT JOIN s_p s ON s.suffix = p.suffix CROSS JOIN corpus c)
+    SELECT page_id, host, path, string_split(r, '=')[1] AS rule, coalesce(string_split(r, '=')[2], CASE WHEN a / (a + b) - {z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {limit} THEN 'block' ELSE 'allow' END) AS verdict FROM j
+    """
+
+
+BAD_RATE = 0.25
+
+
+@query("op3_url_filters", _reputation_sql(BAD_RATE))
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels that carry a page's number are its outcome: low quality is a bad page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     outcomes = pages.join(labels, "page_id").select("url", "bad")
-    return reputation.judge(pages, outcomes, URL_RULES, limit=0.25).select("page_id", "host", "path", "rule", "verdict")
+    return reputation.judge(pages, outcomes, URL_RULES, limit=BAD_RATE).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op7_document_fingerprints")
