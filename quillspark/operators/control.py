@@ -6,14 +6,13 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def model_token_count(text: Column, tokenize: Callable[[str], list]) -> Column:
     """Tokens by a model's own tokenizer, called inside Arrow batches; an empty text has none."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: len(tokenize(t)) if t else 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +89,6 @@ Generator = Callable[[list[str]], list[str]]
 
 def generate(prompts: DataFrame, generator: Generator) -> DataFrame:
     """Answers from a real model, called with batches of prompts inside Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def answers(batch: pd.Series) -> pd.Series:
         return pd.Series(generator(batch.tolist()))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import control, metrics
+from quillspark.operators import control, metrics, prompt
 
 
 def test_control(spark):
@@ -21,3 +21,10 @@ def test_control(spark):
         pass
     shares = metrics.stage_share(spans.frame(spark)).collect()
     assert {r.stage for r in shares} == {"one", "two"} and abs(sum(r.share for r in shares) - 1) < 0.01
+
+
+def test_model_hook(spark):
+    prompts = spark.createDataFrame([(1, "ask one"), (2, "ask two")], "question_id long, prompt string")
+    backend = prompt.choose_backend("auto", lambda batch: [p.upper() for p in batch])
+    assert {r.question_id: (r.answer, r.is_simulated) for r in backend(prompts, None).collect()} == {1: ("ASK ONE", False), 2: ("ASK TWO", False)}
+    assert prompt.choose_backend() is prompt.extractive_answer
