@@ -145,14 +145,14 @@ def drop_exact(units: DataFrame) -> DataFrame:
 
 
 def _fingerprinted(units: DataFrame) -> DataFrame:
-    tokens = T.content_words(F.col("text"))
-    return units.select(*ORDER, "token_estimate", tokens.alias("w"), T.numeric_signature(F.col("text")).alias("figures")).where("size(w) > 0").select(
-        *ORDER,
-        "token_estimate",
-        "figures",
-        F.array_min(F.transform("w", lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"].alias("bucket"),
-        F.transform(T.grams(F.col("w")), lambda g: F.xxhash64(g)).alias("grams"),
-    )
+    """Bucket, figures and hashed grams of each unit, its words found once; without words no grams."""
+
+    def of(w: Column) -> Column:
+        shortest = F.array_min(F.transform(w, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
+        return F.struct(shortest.alias("bucket"), F.transform(T.grams(w), lambda g: F.xxhash64(g)).alias("grams"))
+
+    rows = units.select(*ORDER, "token_estimate", T.numeric_signature(F.col("text")).alias("figures"), T.let(T.content_words(F.col("text")), of).alias("print"))
+    return rows.select(*ORDER, "token_estimate", "figures", "print.bucket", "print.grams")
 
 
 def near_pairs(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
