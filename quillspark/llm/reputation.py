@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER
+from .common import LOWER, UPPER, store
 
 # Suffixes of two labels under which names are registered: fixed values, a parameter below.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
@@ -75,7 +75,8 @@ def posteriors(outcomes: DataFrame) -> dict[str, DataFrame]:
     Each level's prior strength is a method-of-moments fit of the beta-binomial, one row of sums.
     """
     counts = outcomes.groupBy("host").agg(F.sum(F.col("bad").cast("double")).alias("k"), F.count("*").cast("double").alias("n"))
-    counts = counts.select(F.col("host"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "k", "n")
+    # every level reads the counts and the level above it again, so both are written once
+    counts = store(counts.select(F.col("host"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "k", "n"), "host-counts")
     # one pseudo-outcome of either kind keeps every rate inside (0, 1)
     corpus = counts.agg((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5).alias("a"), (F.coalesce(F.sum("n") - F.sum("k"), F.lit(0.0)) + 0.5).alias("b"))
     out, parent = {"all": corpus}, None
@@ -97,7 +98,7 @@ def posteriors(outcomes: DataFrame) -> dict[str, DataFrame]:
         rho = min(0.9, max(1e-3, (spread["over"] or 0.0) / spread["room"])) if spread["room"] else 0.5
         strength = 1 / rho - 1
         parent = centred.select(*names, (F.col("p0") * strength + F.col("k")).alias("a"), ((1 - F.col("p0")) * strength + F.col("n") - F.col("k")).alias("b"))
-        out[level] = parent
+        parent = out[level] = store(parent, f"{level}-posteriors")
     return out
 
 
