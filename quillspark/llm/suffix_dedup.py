@@ -38,6 +38,7 @@ U = np.uint64
 M1, M2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 TOKEN = 32  # bytes of the leading token that anchors are chosen by
 BLOCK = 1 << 19  # bytes hashed at once
+LIMIT = 1 << 23  # window starts of one stretch of a text; positions fit the 24 bits that `anchors` packs
 FLUSH = 1 << 21  # anchors that a task gathers before it combines and ships them
 HOT = 4096  # suffixes of one token from which its windows are dealt out one by one
 NULL_ID = -(1 << 63)
@@ -112,13 +113,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
 
 
 def _anchor_rows(x: np.ndarray, ends: np.ndarray, docs: np.ndarray, rows: np.ndarray, span: int) -> Iterator[np.ndarray]:
-    """ANCHOR records; a text too long for one block is read in overlapping stretches."""
-    limit = 1 << 23  # positions fit the 24 low bits that `anchors` packs
-    if len(x) <= limit:
+    """ANCHOR records; a text too long for one block is read in stretches that share no window."""
+    if len(x) <= LIMIT or len(ends) > 1:
         stretches = [(0, x, ends)]
-    else:  # then it is a single text
-        step = limit - 4 * span
-        stretches = [(a, x[a : a + limit], np.array([min(limit, len(x) - a)])) for a in range(0, len(x), step)]
+    else:
+        parts = ((a, x[a : a + LIMIT + span - 1]) for a in range(0, len(x) - span + 1, LIMIT))
+        stretches = [(a, part, np.array([len(part)])) for a, part in parts]
     for base, part, stops in stretches:
         d, p, low, high, token, around, before, after = anchors(part, stops, span)
         out = np.empty(len(d), ANCHOR)
