@@ -436,6 +436,18 @@ def as_tuple(r):
     return r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256
 
 
+def test_long_texts_are_read_in_stretches(monkeypatch):
+    """Every window start belongs to one anchor, however a text is cut."""
+    rng = np.random.default_rng(4)
+    x = np.frombuffer(rng.integers(97, 101, 5000).astype(np.uint8).tobytes(), np.uint8)
+    for limit in (1 << 23, 700):
+        monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+        one = np.zeros(1, np.int64)
+        got = np.concatenate(list(suffix_dedup._anchor_rows(x, np.array([len(x)]), one, one, 100)))
+        starts = np.concatenate([np.arange(r["pos"], r["pos"] + r["more"] + 1) for r in got])
+        assert sorted(starts.tolist()) == list(range(len(x) - 99))
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_repeats_match_brute_force(docs, rows, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
