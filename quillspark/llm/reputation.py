@@ -120,7 +120,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float
     hosts = hosts.select("host", F.coalesce("by_host", "by_domain", "by_suffix", F.struct(F.lit(row["a"]).alias("a"), F.lit(row["b"]).alias("b"))).alias("p"))
     a, b = F.col("p.a"), F.col("p.b")
     rate = a / (a + b)
-    hosts = hosts.select("host", rate.alias("bad_rate"), (rate - z * F.sqrt(rate * (1 - rate) / (a + b + 1))).alias("bad_bound"))
+    # written, so that the join deals out both sides itself and can split a host with a third of all pages
+    hosts = store(hosts.select("host", rate.alias("bad_rate"), (rate - z * F.sqrt(rate * (1 - rate) / (a + b + 1))).alias("bad_bound")), "host-bounds")
     found = matched_rule(F.col("host"), F.col("path"), rules)
     return (
         rows.join(hosts, "host")
