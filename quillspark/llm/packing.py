@@ -85,9 +85,13 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, size: int, e
 
 
 class Complements:
-    """Available piece lengths and the sums of one, two or three of them."""
+    """Available piece lengths and the sums of one, two or three of them.
 
-    def __init__(self, counts: np.ndarray):
+    even: prefer combinations of like lengths to those with the longest piece.
+    """
+
+    def __init__(self, counts: np.ndarray, even: bool = False):
+        self.even = even
         self.left = counts.astype(np.int64).copy()
         self.left[0] = 0
 
@@ -105,7 +109,8 @@ class Complements:
             return None
         if (pair := self._pair(have, gap)) is not None:
             return pair
-        for a in have[have * 3 >= gap]:
+        tops = have[have * 3 >= gap]
+        for a in tops[::-1] if self.even else tops:
             left[a] -= 1
             rest = self._pair(have[(have <= a) & (left[have] > 0)], gap - a)
             left[a] += 1
@@ -113,6 +118,16 @@ class Complements:
                 return [int(a), *rest]
         return None
 
+    def fourth(self, gap: int) -> list[int] | None:
+        """A piece that leaves a gap which one, two or three others fill exactly."""
+        for x in np.flatnonzero(self.left[: gap + 1])[::-1]:
+            self.left[x] -= 1
+            rest = self.exact(gap - int(x))
+            self.left[x] += 1
+            if rest is not None:
+                return [int(x), *rest]
+        return None
+
     def _pair(self, have: np.ndarray, gap: int) -> list[int] | None:
         if gap < 2 or not len(have):
             return None
@@ -120,15 +135,24 @@ class Complements:
         small = gap - big
         fits = (self.left[small] > (small == big)) & (self.left[big] > 0) & (small <= have[0])
         at = np.flatnonzero(fits)
-        return [int(big[at[0]]), int(small[at[0]])] if len(at) else None
+        k = -1 if self.even else 0
+        return [int(big[at[k]]), int(small[at[k]])] if len(at) else None
 
 
-def plan(counts: np.ndarray, size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+Rule = tuple[int, int, int, int, int]
+
+
+def plan(counts: np.ndarray, size: int) -> tuple[list[Rule], int]:
     """Rules (length, pieces a sequence, first sequence, sequences, offset), and how many sequences.
 
-    counts[l] pieces of length l. Every rule's pieces lie side by side in its sequences.
+    counts[l] pieces of length l. Every rule's pieces lie side by side in its sequences. The better
+    of the plans that prefer long or like pieces in combinations; each takes well under a second.
     """
-    index, rules, used = Complements(counts), [], 0
+    return min((_plan(counts, size, even) for even in (False, True)), key=lambda p: p[1])
+
+
+def _plan(counts: np.ndarray, size: int, even: bool) -> tuple[list[Rule], int]:
+    index, rules, used = Complements(counts, even), [], 0
     for longest in range(size, 0, -1):
         while index.left[longest]:
             parts, gap = [longest], size - longest
@@ -141,7 +165,7 @@ def plan(counts: np.ndarray, size: int) -> tuple[list[tuple[int, int, int, int,
                         break
                     best = int(fit[-1])
                     # as many of the best fit as leave a gap that small pieces may still fill
-                    more = [best] * int(max(1, min(index.left[best], gap // best - 1)))
+                    more = index.fourth(gap) or [best] * int(max(1, min(index.left[best], gap // best - 1)))
                 index.take(more, 1)
                 parts += more
                 gap -= sum(more)
@@ -161,7 +185,6 @@ def plan(counts: np.ndarray, size: int) -> tuple[list[tuple[int, int, int, int,
 def pack(placed: DataFrame, size: int) -> DataFrame:
     """Add sequence_id and offset to pieces that carry length, part and place."""
     counted = placed.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counted = store(counted, "piece-counts")
     counts = np.zeros(size + 1, np.int64)
     for row in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
         counts[row["length"]] = row["n"]
