@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_index, mixing, packing, simhash, toxicity
+from quillspark.llm import exact_index, mixing, overlap, packing, toxicity
 from quillspark.llm.common import ready, store, table
 from quillspark.llm.queries import MIX_BUDGET, MIX_TARGETS, vocabulary
 
@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs.select(*COLUMNS))
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
+    return overlap.drop_near_copies(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
