@@ -1,10 +1,16 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Documents are counted into cells of source, language and topic. Raking scales the cells' token
-weights to each marginal target in turn until all of them hold. A cell's fitted weight over its
+weights to each marginal target in turn until all of them hold. A probability is at most one, so a
+cell's weight is capped at its own share of the tokens over the budget: cells at their cap are set
+aside and the others are raked to what the targets leave them. A cell's fitted weight over its
 tokens is its multiplier, and a document's sampling probability is min(1, scale x multiplier) with
-one scale for all, calibrated so that the expected tokens meet the budget. Every document draws a
-number from its id alone, so a run repeats itself on any cluster.
+one scale for all, which then only settles what raking left of the token budget. Every document
+draws a number from its id alone, so a run repeats itself on any cluster.
+
+A value whose target is more than all its tokens is taken whole, and the other values of its
+dimension share the rest in proportion to their targets. Where the targets of several dimensions
+contradict each other under the cap, the shares come as near as ROUNDS rounds bring them.
 
 The cell table is raked on the driver where it has at most `driver_cells` rows, a proven bound, and
 by the same steps as joins and aggregates where it has more; both give the same weights.
@@ -28,6 +34,7 @@ from .common import store
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "\x00none"  # stands for null inside cells
 ROUNDS, TOLERANCE = 60, 1e-6
+MOST = 1e6  # times its cap, a weight grows no further
 
 
 def topic_of(text: Column) -> Column:
@@ -58,19 +65,36 @@ def marginal(values: list, tokens: np.ndarray, target: dict | float) -> np.ndarr
     return share / share.sum() if share.sum() else own
 
 
-def rake(codes: np.ndarray, tokens: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
-    """Weights of the cells (rows of codes) whose marginals are the shares of one."""
+def feasible(share: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Target shares of which none exceeds its room; the others take over what is cut, in proportion."""
+    while (share > room * (1 + 1e-12)).any():
+        full = share >= room
+        free = share[~full].sum()
+        share = np.where(full, room, share * ((1 - room[full].sum()) / free if free else 0))
+    return share
+
+
+def rake(codes: np.ndarray, tokens: np.ndarray, shares: list[np.ndarray], cap: np.ndarray | float = np.inf) -> np.ndarray:
+    """Weights of the cells (rows of codes), none over its cap, whose marginals are the shares of one.
+
+    The weights are min(cap, a product of one factor per value). A step sets the cells at their cap
+    aside and scales the others of a value to what its share leaves them.
+    """
     w = tokens / tokens.sum()
     for _ in range(ROUNDS):
         worst = 0.0
         for k, share in enumerate(shares):
-            have = np.bincount(codes[:, k], w, len(share))
-            ratio = np.divide(share, have, out=np.ones_like(share), where=have > 0)
-            worst = max(worst, float(np.abs(ratio - 1)[have > 0].max(initial=0)))
-            w = w * ratio[codes[:, k]]
+            full, bounded = w >= cap, np.minimum(w, cap)
+            have, held = (np.bincount(codes[:, k], x, len(share)) for x in (bounded, bounded * full))
+            free = np.bincount(codes[:, k], bounded * ~full, len(share))
+            plain = np.divide(share, have, out=np.ones_like(share), where=have > 0)
+            worst = max(worst, float(np.abs(plain - 1)[have > 0].max(initial=0)))
+            aside = (free > 0) & (share > held)
+            ratio = np.where(aside, np.divide(share - held, free, out=np.ones_like(share), where=free > 0), np.where(share < have, plain, 1.0))
+            w = np.minimum(w * ratio[codes[:, k]], cap * MOST)
         if worst < TOLERANCE:
             break
-    return w
+    return np.minimum(w, cap)
 
 
 def _shares_frame(cells: DataFrame, name: str, target: dict | float) -> DataFrame:
@@ -88,24 +112,42 @@ def _shares_frame(cells: DataFrame, name: str, target: dict | float) -> DataFram
         spare = max(0.0, 1 - (sums[0] or 0.0))
         raw = both.withColumn("share", F.coalesce("named", F.lit(spare) * own / F.lit(float(sums[1] or 1.0))))
     scale = raw.agg(F.sum("share")).first()[0]
-    return raw.select(name, (F.col("share") / F.lit(float(scale))).alias("share"))
+    return raw.select(name, own.alias("own"), (F.col("share") / F.lit(float(scale))).alias("share"))
+
+
+def _feasible_frame(shares: DataFrame, budget: float) -> DataFrame:
+    """feasible() as a table."""
+    room = F.col("own") / F.lit(budget)
+    while True:
+        over, free, held = shares.agg(F.max(F.col("share") > room * (1 + 1e-12)), F.sum(F.when(F.col("share") < room, F.col("share"))), F.sum(F.when(F.col("share") >= room, room))).first()
+        if not over:
+            return shares
+        shares = store(shares.withColumn("share", F.when(F.col("share") >= room, room).otherwise(F.col("share") * F.lit((1 - held) / free if free else 0.0))), "shares")
 
 
-def _rake_frames(cells: DataFrame, targets: dict) -> DataFrame:
+def _rake_frames(cells: DataFrame, targets: dict, budget: float) -> tuple[DataFrame, float]:
+    """rake() by joins and aggregates: cells with w, and the budget that can be reached."""
     shares = {d: store(_shares_frame(cells, d, targets[d]), "shares") for d in DIMENSIONS}
+    budget = min(budget, *[float(s.where("share > 0").agg(F.sum("own")).first()[0] or 0.0) for s in shares.values()])
+    shares = {d: _feasible_frame(s, budget) for d, s in shares.items()}
     total = float(cells.agg(F.sum("tokens")).first()[0])
     cells = cells.withColumn("w", F.col("tokens") / F.lit(total))
+    cap = F.col("tokens") / F.lit(total) / F.lit(budget)
+    full, bounded = F.col("w") >= cap, F.least("w", cap)
     for _ in range(ROUNDS):
         worst = 0.0
         for d in DIMENSIONS:
-            have = cells.groupBy(d).agg(F.sum("w").alias("have")).join(shares[d], d)
-            ratio = store(have.select(d, F.when(F.col("have") > 0, F.col("share") / F.col("have")).otherwise(1.0).alias("ratio")), "ratios")
-            worst = max(worst, ratio.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
-            cells = cells.join(ratio, d).withColumn("w", F.col("w") * F.col("ratio")).drop("ratio")
+            have = cells.groupBy(d).agg(F.sum(bounded).alias("have"), F.sum(F.when(full, bounded).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(bounded)).alias("free")).join(shares[d], d)
+            plain = F.when(F.col("have") > 0, F.col("share") / F.col("have")).otherwise(1.0)
+            aside = (F.col("free") > 0) & (F.col("share") > F.col("held"))
+            step = F.when(aside, (F.col("share") - F.col("held")) / F.col("free")).when(F.col("share") < F.col("have"), plain).otherwise(1.0)
+            ratio = store(have.select(d, plain.alias("plain"), step.alias("ratio")), "ratios")
+            worst = max(worst, ratio.agg(F.max(F.abs(F.col("plain") - 1))).first()[0] or 0.0)
+            cells = cells.join(ratio.select(d, "ratio"), d).withColumn("w", F.least(F.col("w") * F.col("ratio"), cap * MOST)).drop("ratio")
         cells = store(cells, "raked")
         if worst < TOLERANCE:
             break
-    return cells
+    return cells.withColumn("w", bounded), budget
 
 
 def _calibrate(expected, budget: float, top: float) -> float:
@@ -127,6 +169,7 @@ def cell_probabilities(cells: DataFrame, targets: dict, budget_share: float, dri
         if not rows:
             return cells.select(*fields).withColumns({"w": F.lit(0.0), "probability": F.lit(0.0)})
         tokens = np.array([r["tokens"] for r in rows], float)
+        own = tokens / tokens.sum()
         codes, shares = [], []
         for d in DIMENSIONS:
             values = sorted({r[d] for r in rows})
@@ -134,14 +177,16 @@ def cell_probabilities(cells: DataFrame, targets: dict, budget_share: float, dri
             code = np.array([place[r[d]] for r in rows])
             codes.append(code)
             shares.append(marginal([None if v == NONE else v for v in values], np.bincount(code, tokens, len(values)), targets[d]))
-        w = rake(np.column_stack(codes), tokens, shares)
+        budget_share = min(budget_share, *[float(own[(s > 0)[c]].sum()) for c, s in zip(codes, shares)])
+        shares = [feasible(s, np.bincount(c, own, len(s)) / budget_share) for c, s in zip(codes, shares)]
+        w = rake(np.column_stack(codes), tokens, shares, own / budget_share)
         multiplier = w / tokens * tokens.sum()
         top = 1 / max(multiplier[multiplier > 0].min(initial=1.0), 1e-12)
         scale = _calibrate(lambda s: float((tokens * np.minimum(1, s * multiplier)).sum()), budget_share * tokens.sum(), top)
         p = np.minimum(1, scale * multiplier)
         data = [(*(r[d] for d in DIMENSIONS), r["tokens"], float(a), float(b)) for r, a, b in zip(rows, w, p)]
         return spark.createDataFrame(data, "source string, lang string, topic string, tokens long, w double, probability double")
-    raked = _rake_frames(cells.select(*fields), targets)
+    raked, budget_share = _rake_frames(cells.select(*fields), targets, budget_share)
     total = float(raked.agg(F.sum("tokens")).first()[0])
     raked = store(raked.withColumn("m", F.col("w") / F.col("tokens") * F.lit(total)), "multipliers")
     least = raked.where("m > 0").agg(F.min("m")).first()[0] or 1.0
