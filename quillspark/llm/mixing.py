@@ -42,7 +42,7 @@ def topic_of(text: Column) -> Column:
     return (
         F.when(F.contains(text, F.lit(" | ")), "tables")
         .when(F.contains(text, F.lit("://")) | F.contains(text, F.lit("@")), "contacts")
-        .when(F.lower(F.substring(text, 1, 200)).rlike("licen[cs]e|copyright"), "notices")
+        .when(F.lower(text).rlike("licen[cs]e|copyright"), "notices")
         .when(F.octet_length(text) < 500, "short prose")
         .otherwise("prose")
     )

@@ -29,3 +29,10 @@ def test_probabilities_meet_marginals(spark, driver_cells):
     assert expected["lang"] == pytest.approx({"en": 0.4, "de": 0.6}, abs=1e-4)
     assert expected["topic"] == pytest.approx({"rare": 1 / 6, "prose": 5 / 6}, abs=1e-4)
     assert max(r.probability for r in rows) == 1.0
+
+
+def test_topic_reads_whole_texts(spark):
+    texts = ["word " * 200 + tail for tail in ("Copyright 2020", "under the MIT Licence", "nothing")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    found = rows.orderBy("k").select(mixing.topic_of(rows.text).alias("topic")).collect()
+    assert [r.topic for r in found] == ["notices", "notices", "prose"]
