@@ -3,13 +3,14 @@
 Text and templates are normalised to lower-case words. For every template, every run of whole
 lines whose bigram count can reach the wanted coefficient is a candidate; a run of a bigrams and a
 template of b bigrams share at most min(a, b), so Dice >= t needs t/(2-t) <= a/b <= (2-t)/t, and
-other sizes are pruned unseen. A template needs at least t/(2-t) of its bigrams in a run, so words
+other sizes are pruned unseen. Where no run of lines reaches a licence, runs of words are compared
+wherever they begin and end, so that a notice inside a long line is found. A template needs at least t/(2-t) of its bigrams in a run, so words
 that touch more than the rest of its bigrams must occur in any match: texts with none of those
 words are passed over after one multi-pattern search. Candidates that remain are compared exactly,
 as multisets.
 
 Defined results. A null or empty text has no match. The best run per document row and licence is
-reported (the highest coefficient, then the shortest, then the first); rows without a match have
+reported (of lines before words; the highest coefficient, then the shortest, then the first); rows without a match have
 no row. Repeated rows repeat their matches. Rows with a null doc_id are scanned and keep the null.
 An empty table gives an empty table.
 """
@@ -17,6 +18,7 @@ An empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -126,8 +128,38 @@ class Scanner:
                     key = (-value, size, i, j)
                     if value >= self.least and (name not in best or key < best[name]):
                         best[name] = key
+        left = [f for f in self.forms if f[0] not in best and f[4] & present]
+        if left:
+            best |= self.windows(lines, left)
         return [(name, -k[0], k[2], k[3]) for name, k in sorted(best.items())]
 
+    def windows(self, lines: list[list[str]], forms: list[tuple]) -> dict[str, tuple]:
+        """The best run of words per licence, wherever lines begin or end.
+
+        A best run begins and ends with a bigram of the template, and holds `low` of them.
+        """
+        run = [w for x in lines for w in x]
+        line_of = [k for k, x in enumerate(lines) for _ in x]
+        pairs, best = list(zip(run, run[1:])), {}
+        for name, form, low, high, _ in forms:
+            total = sum(form.values())
+            at = [k for k, b in enumerate(pairs) if b in form]
+            for i, first in enumerate(at):
+                ends = bisect_right(at, first + high - 1)
+                if ends - i < low:
+                    continue
+                seen: Counter = Counter()
+                shared = 0
+                for last in at[i:ends]:
+                    b = pairs[last]
+                    seen[b] += 1
+                    shared += seen[b] <= form[b]
+                    size = last - first + 1
+                    value = 2 * shared / (size + total)
+                    if value >= self.least and (name not in best or (-value, size) < best[name][:2]):
+                        best[name] = (-value, size, line_of[first], line_of[last + 1])
+        return best
+
 
 def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licence, score, first_line, last_line (from 0) of every licence found."""
