@@ -313,6 +313,19 @@ def sectioned(spark, sf_dir) -> DataFrame:
     return documents(spark, sf_dir).withColumn("text", F.array_join(lines, "\n"))
 
 
+def headed(spark, sf_dir) -> DataFrame:
+    """Whole documents with headings, tables and blank lines added by line number; no line is cut."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.when(i % 7 == 3, F.array(F.concat(F.lit("## "), F.substring(x, 1, 30)), x))
+        .when(i % 11 == 5, F.array(F.concat(F.lit("| "), F.substring(x, 1, 40), F.lit(" |")), x))
+        .when(i % 13 == 8, F.array(F.concat(F.lit("- "), x)))
+        .when(i % 17 == 9, F.array(F.lit(""), x))
+        .otherwise(F.array(x)),
+    )
+    return documents(spark, sf_dir).withColumn("text", F.array_join(F.flatten(lines), "\n"))
+
+
 _LINES = r"""
     lined AS (SELECT doc_id, i - 1 AS n, CASE WHEN (i - 1) % 7 = 3 THEN '## ' || left(l, 30) WHEN (i - 1) % 11 = 5 THEN '| ' || left(l, 40) || ' |' WHEN (i - 1) % 13 = 8 THEN '- ' || l WHEN (i - 1) % 17 = 9 THEN '' ELSE l END AS line
               FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
@@ -346,12 +359,12 @@ def segment_blocks(spark, sf_dir):
 
 @query("segment_units")
 def segment_units(spark, sf_dir):
-    return segment.units(sectioned(spark, sf_dir)).select("doc_id", "unit_id", "ordinal", "kind", F.array_join("section_path", " > ").alias("section_path"), "token_estimate", "char_start", "char_end", T.sha(F.col("text")).alias("text_sha"))
+    return segment.units(headed(spark, sf_dir)).select("doc_id", "unit_id", "ordinal", "kind", F.array_join("section_path", " > ").alias("section_path"), "token_estimate", "char_start", "char_end", T.sha(F.col("text")).alias("text_sha"))
 
 
 @query("document_facts")
 def document_facts(spark, sf_dir):
-    d = sectioned(spark, sf_dir)
+    d = headed(spark, sf_dir)
     return segment.document_facts(d, segment.blocks(d), segment.units(d)).withColumn("section_titles", F.size("section_titles"))
 
 
@@ -432,12 +445,12 @@ def near_dedup_units(spark, sf_dir):
 
 @query("merge_fragments")
 def merge_fragments(spark, sf_dir):
-    return context.merge_fragments(segment.units(sectioned(spark, sf_dir))).select("doc_id", "unit_id", "token_estimate", T.sha(F.col("text")).alias("text_sha"))
+    return context.merge_fragments(segment.units(headed(spark, sf_dir))).select("doc_id", "unit_id", "token_estimate", T.sha(F.col("text")).alias("text_sha"))
 
 
 @query("compaction_report")
 def compaction_report(spark, sf_dir):
-    return context.compaction_report(ask_plan.prepare(sectioned(spark, sf_dir)))
+    return context.compaction_report(ask_plan.prepare(headed(spark, sf_dir)))
 
 
 # -- R: retrieval -----------------------------------------------------------------------
@@ -831,7 +844,7 @@ def illegal_transitions(spark, sf_dir):
 @query("ask_batch")
 def ask_batch(spark, sf_dir):
     """Ingest to metrics in one job: all benchmark items against all documents."""
-    docs = sectioned(spark, sf_dir).withColumn("text", T.normalize(F.col("text")))
+    docs = headed(spark, sf_dir).withColumn("text", T.normalize(F.col("text")))
     return ask_plan.ask(ask_plan.prepare(docs), questions(spark, sf_dir)).metrics
 
 
