@@ -88,8 +88,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = pc.fill_null(pc.equal(batch.column(2), "assistant"), False)
         # code points of the text inside its turn, for the loss mask
         head = pc.add(pc.utf8_length(roles), len(OPEN) + len(SAYS))
-        columns = [batch.column(0), batch.column(1), turns.cast(pa.string()), trained, head.cast(pa.int64()), pc.utf8_length(texts).cast(pa.int64()), batch.column(2), batch.column(3)]
-        yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "formatted", "trained", "head", "size", "role", "text"])
+        columns = [batch.column(0), batch.column(1), turns.cast(pa.string()), trained, head.cast(pa.int64()), pc.utf8_length(texts).cast(pa.int64()), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "formatted", "trained", "head", "size", "role"])
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +127,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     ready(turns.sparkSession)
     plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    done = plain.mapInArrow(_format, "conv_id long, turn long, formatted string, trained boolean, head long, size long, role string, text string")
-    # role and text only order rows of the same turn; a hash of them stands in
-    order = F.struct(F.coalesce("role", F.lit("")), F.coalesce(F.substring("text", 1, 64), F.lit("")), F.xxhash64("text"))
-    keyed = done.select("conv_id", "formatted", "trained", "head", "size", "turn", order.alias("tie"))
+    done = plain.mapInArrow(_format, "conv_id long, turn long, formatted string, trained boolean, head long, size long, role string")
+    # rows of the same turn are ordered by role and whole text, which is read back from the formatted turn
+    text = F.regexp_replace(F.substring(F.col("formatted"), F.col("head").cast("int") + 1, F.col("size").cast("int")), r"\\(?:(\\)|:)", "$1")
+    keyed = done.select("conv_id", "formatted", "trained", "head", "size", "turn", F.coalesce("role", F.lit("")).alias("tie"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "tie")
+    dealt = keyed.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "tie", text)
     return dealt.select("conv_id", "formatted", "trained", "head", "size").mapInArrow(_join, "conv_id long, formatted string, n_turns long, loss_spans array<long>")
 
 
