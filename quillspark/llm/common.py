@@ -25,11 +25,17 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a folder of its own; on a cluster that folder would be
+    another one on each machine, so there it is an error.
+    """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if configured:
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     own = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
     sc.setCheckpointDir(own)
     return own
@@ -53,9 +59,60 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    _STORED[path] = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: dict[str, None] = {}
+
+
+class Scratch:
+    """Tables that loops write round by round: `keep` writes the next one and removes the one before."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = store(df, self.name)
+        path, self.path = self.path, next(reversed(_STORED))
+        if path:
+            _remove(df.sparkSession, path)
+        return out
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A scan's splits in as few tasks as full splits would take, at least two for each core.
+
+    Many small files would otherwise make as many tasks, Python workers' batches and files written.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.coalesce(min(1 << 30, max(2 * spark.sparkContext.defaultParallelism, -(-size // split))))
+
+
+MOST_ROWS = 1_000_000  # short rows that may be broadcast: a bound on what the driver and each task hold
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """A written table of short rows, marked for broadcasting where it has at most MOST_ROWS rows.
+
+    Beyond that the join is left to Spark, which shuffles both sides.
+    """
+    return F.broadcast(small) if small.limit(MOST_ROWS + 1).count() <= MOST_ROWS else small
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; texts that are all ASCII take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

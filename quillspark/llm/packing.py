@@ -14,7 +14,8 @@ Documents are encoded in Arrow batches. A document longer than a sequence is cut
 Defined results. A null text counts as empty and is one token, the end id. An empty table gives an
 empty table. Rows with a null or repeated doc_id are packed like any other row. A text with
 characters outside the common scripts, or one that spells a special token, is encoded by the
-slower of the two libraries, which defines the ids.
+slower of the two libraries, which defines the ids. A text is encoded whole, however long: one task
+holds it and its ids. Columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +32,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, store
+from .common import gathered, ready, store
 
+ROWS = 1024  # documents encoded between two batches of pieces
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 UNUSUAL = re.compile("[^\x00-ɏ‐-‧€]|<\\|")
 
 
 @lru_cache(maxsize=4)
-def _encoder(json_path: str, ranks_path: str | None):
-    """Text to uint32 ids. ranks_path: the same vocabulary for the faster library, if there is one."""
+def _whole(json_path: str):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(json_path)
-    exact = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(maxsize=4)
+def _encoder(json_path: str, ranks_path: str | None):
+    """Text to uint32 ids. ranks_path: the same vocabulary for the faster library, if there is one;
+    the other is then loaded by the first text that needs it."""
+    exact = lambda text: np.array(_whole(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
     if not ranks_path:
         return exact
     import tiktoken
@@ -69,19 +76,30 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, size: int, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(json_path, ranks_path)
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
-                for k, (start, length) in enumerate(cut(len(ids), size)):
-                    rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), part, seen[length]))
-                    seen[length] += 1
-            columns = list(zip(*rows)) or [()] * 7
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                counts, sums = np.empty(batch.num_rows, np.int64), []  # of ids; of pieces
+                for row, text in enumerate(batch.column(1)):
+                    ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
+                    counts[row] = len(ids)
+                    sums += [zlib.crc32(ids[start : start + length]) for start, length in cut(len(ids), size)]
+                n = -(-counts // size)
+                first = counts - (n - 1) * size
+                row = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                length = np.where(piece == 0, first[row], size)
+                start = np.where(piece == 0, 0, first[row] + (piece - 1) * size)
+                # rank among the task's pieces of the same length
+                order = np.argsort(length, kind="stable")
+                sorted_, place = length[order], np.empty(len(row), np.int64)
+                place[order] = np.arange(len(row)) - np.searchsorted(sorted_, sorted_) + seen[sorted_]
+                seen += np.bincount(length, minlength=size + 1)
+                columns = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
+
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return gathered(plain).mapInArrow(run, SCHEMA)
 
 
 class Complements:
