@@ -94,12 +94,21 @@ def gathered(df: DataFrame) -> DataFrame:
 MOST_ROWS = 1_000_000  # short rows that may be broadcast: a bound on what the driver and each task hold
 
 
+def few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def sized(small: DataFrame) -> DataFrame:
     """A written table of short rows, marked for broadcasting where it has at most MOST_ROWS rows.
 
     Beyond that the join is left to Spark, which shuffles both sides.
     """
-    return F.broadcast(small) if small.limit(MOST_ROWS + 1).count() <= MOST_ROWS else small
+    return F.broadcast(small) if few(small, MOST_ROWS) else small
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
