@@ -2,20 +2,23 @@
 
 DataFrame functions only. A paragraph (line) is a 64-bit digest. A sketch has three tables of
 cells; a digest is added to one cell of each, and a cell keeps a count, the exclusive-or of its
-digests and the exclusive-or of their check sums. Two sketches of one size subtract cell by cell,
-so that what both texts hold cancels out. Peeling recovers the rest: a cell whose count is one and
-whose check sum fits holds a single digest, which is then taken out of its other cells, and so on.
-A pair whose cells do not all come empty is retried with a sketch of twice the size and other cell
-addresses; the number of retries is not limited.
-
-All pairs are peeled together: cells are rows grouped under their document's bucket, and every
-round is an explode and an aggregate on keys that extend the bucket, which needs no shuffle. The
-texts are dealt out once, by ranges of doc_id, which also puts a document beside its successor.
+digests and the exclusive-or of their check sums. The fingerprint is a sketch of CELLS cells. Two
+fingerprints subtract cell by cell, so that what both texts hold cancels out. Peeling recovers the
+rest: a cell whose count is one and whose check sum fits holds a single digest, which is then taken
+out of its other cells, and so on; all of that happens within the pair's row. Texts that differ in
+more digests than their fingerprints can give back are retried with sketches of GROWTH times the
+size and other cell addresses; the number of retries is not limited.
+
+The larger sketches of all pairs are peeled together: cells are rows grouped under their document's
+bucket, and every round is an explode and an aggregate on keys that extend the bucket, which needs
+no shuffle. The texts are dealt out once, by ranges of doc_id, which also puts a document beside
+its successor.
 
 Defined results. A null text counts as empty; an empty text has no paragraph, and two texts
 without paragraphs are alike (1.0). Repeated paragraphs count once. Rows that share a doc_id are
 ordered by their text's hash; a null doc_id comes before any other. A lone document is its own
-successor. An empty table gives an empty table.
+successor. An empty table gives an empty table. Texts are read whole; a long text's digests are one
+array in its row. Columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import Scratch, store
 
 TABLES = 3
-CELLS = 12  # of the sketch that is a text's fingerprint, a multiple of TABLES
+CELLS = 30  # of the sketch that is a text's fingerprint, a multiple of TABLES
+PASSES = 12  # of peeling within a row; a fingerprint that needs more is retried larger
+GROWTH = 4
 NULL_ID = -(1 << 63)
 
 
@@ -47,24 +52,61 @@ def check_sum(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check"))
 
 
-def sketch_string(digests: Column) -> Column:
-    """The base sketch in hexadecimal: per cell the count (8 digits), digests and check sums (16 each)."""
-    size = CELLS // TABLES
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _cell(n, x, s) -> Column:
+    return F.struct(n.cast("int").alias("n"), x.cast("long").alias("x"), s.cast("long").alias("s"))
+
+
+def _placed(digest: Column, n: Column) -> Column:
+    """A digest with its sign, check sum and cells in a sketch of the fingerprint's size."""
+    at = F.array(*[address(digest, t, CELLS // TABLES).cast("int") for t in range(TABLES)])
+    return F.struct(n.cast("int").alias("n"), digest.alias("x"), check_sum(digest).alias("s"), at.alias("at"))
+
+
+def _plus(cell: Column, e: Column, sign: int) -> Column:
+    return _cell(cell["n"] + sign * e["n"], cell["x"].bitwiseXOR(e["x"]), cell["s"].bitwiseXOR(e["s"]))
+
+
+def sketch(digests: Column) -> Column:
+    """The fingerprint's cells: array<struct<n, x, s>>."""
+    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
+
+    def cells(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(F.filter(held, lambda e: F.array_contains(e["at"], c)), zero, lambda a, e: _plus(a, e, 1)))
+
+    return _let(F.transform(digests, lambda d: _placed(d, F.lit(1))), cells)
+
 
-    def placed(table: int) -> Column:
-        return F.transform(digests, lambda d: F.struct(address(d, table, size).alias("c"), d.alias("d"), check_sum(d).alias("s")))
+def written(cells: Column) -> Column:
+    """A sketch in hexadecimal: per cell the count (8 digits), digests and check sums (16 each)."""
+    one = lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["s"]), 16, "0"))
+    return F.lower(F.array_join(F.transform(cells, one), ""))
 
-    def cell(c: int) -> Column:
-        held = F.filter(placed(c // size), lambda e: e["c"] == c)
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("s"))
-        return F.aggregate(
-            held,
-            zero,
-            lambda a, e: F.struct((a["n"] + 1).alias("n"), a["x"].bitwiseXOR(e["d"]).alias("x"), a["s"].bitwiseXOR(e["s"]).alias("s")),
-            lambda a: F.concat(F.lpad(F.hex(a["n"]), 8, "0"), F.lpad(F.hex(a["x"]), 16, "0"), F.lpad(F.hex(a["s"]), 16, "0")),
-        )
 
-    return F.lower(F.concat(*[cell(c) for c in range(CELLS)]))
+def _empty(cell: Column) -> Column:
+    return (cell["n"] == 0) & (cell["x"] == 0) & (cell["s"] == 0)
+
+
+def peeled(a: Column, b: Column) -> Column:
+    """How many digests two sketches do not share, by subtracting and peeling; null if that fails."""
+    differing = F.zip_with(a, b, lambda x, y: _plus(x, y, -1))
+    state = lambda cells, found: F.struct(cells.alias("cells"), found.cast("int").alias("found"))
+
+    def single(cells: Column) -> Column:
+        pure = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (check_sum(c["x"]) == c["s"]))
+        # several cells may hold the same digest
+        return F.transform(F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x")))), lambda d: _placed(d["x"], d["n"]))
+
+    def step(now: Column, _: Column) -> Column:
+        taken = lambda d: F.transform(now["cells"], lambda c, i: F.aggregate(F.filter(d, lambda e: F.array_contains(e["at"], i)), c, lambda a, e: _plus(a, e, -1)))
+        return _let(single(now["cells"]), lambda d: F.when(F.size(d) == 0, now).otherwise(state(taken(d), now["found"] + F.size(d))))
+
+    finish = lambda now: F.when(F.forall(now["cells"], _empty), now["found"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), state(differing, F.lit(0)), step, finish)
 
 
 def _splitters(docs: DataFrame, n: int) -> list[int]:
@@ -154,31 +196,31 @@ ROUNDS = 5  # between two looks at whether peeling goes on
 def differences(pairs: DataFrame) -> DataFrame:
     """(id, pair, differing): how many digests each pair's texts do not share, by peeling.
 
-    pairs: bucket, id, pair, a, b. Sketches start at half as many cells again as both texts have
-    digests. Equal pairs leave no cell, and so no row.
+    pairs: bucket, id, pair, a, b. The first sketches are GROWTH times a fingerprint, or larger
+    where the texts' numbers of digests differ by more than such a sketch has cells. Equal pairs
+    leave no cell, and so no row.
     """
-    level, left, done = 0, pairs, None
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done, parts = None, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = F.abs(F.size("a") - F.size("b")) / F.lit(CELLS)
+    power = F.greatest(F.lit(1), F.floor(F.log(float(GROWTH), F.greatest(least, F.lit(1.0))) + 1))
+    left = pairs.withColumn("salt", power.cast("int"))
+    held, again = Scratch("cells"), Scratch("retry")
 
     def kept(cells: DataFrame) -> DataFrame:
         """Written and dealt out by bucket again, so that the rounds to come need no shuffle."""
-        return store(cells, "cells").repartition(parts, "bucket")
+        return held.keep(cells).repartition(parts, "bucket")
 
     while True:
-        sized = left.withColumns({"size": (F.ceil((F.size("a") + F.size("b")) * (1 << level) / 2) + 4).cast("int"), "salt": F.lit(level)})
+        sized = left.withColumn("size", (F.lit(CELLS // TABLES) * F.pow(F.lit(GROWTH), F.col("salt"))).cast("int"))
         cells = _cells(sized)
-        for _ in range(ROUNDS):
-            cells = _peel(cells)
-        cells = kept(cells)
         while True:
-            # a pair is stuck when a round changes none of its cells
-            stuck = cells.where("n <> 0 OR x <> 0 OR s <> 0")
-            pure = stuck.where((F.abs("n") == 1) & (check_sum(F.col("x")) == F.col("s")))
-            if pure.isEmpty():
-                break
             for _ in range(ROUNDS):
                 cells = _peel(cells)
             cells = kept(cells)
+            # a pair is stuck when a round changes none of its cells
+            pure = cells.where("n <> 0 OR x <> 0 OR s <> 0").where((F.abs("n") == 1) & (check_sum(F.col("x")) == F.col("s")))
+            if pure.isEmpty():
+                break
         solved = cells.groupBy("bucket", "id", "pair").agg(F.sum("found").alias("differing"), F.max((F.col("n") != 0) | (F.col("x") != 0) | (F.col("s") != 0)).alias("open"))
         solved = store(solved, "solved")
         closed = solved.where("NOT open").select("id", "pair", "differing")
@@ -186,8 +228,7 @@ def differences(pairs: DataFrame) -> DataFrame:
         retry = solved.where("open").select("id", "pair")
         if retry.isEmpty():
             return done
-        left = store(left.join(retry, ["id", "pair"], "left_semi"), "retry").repartition(parts, "bucket")
-        level += 1
+        left = again.keep(left.join(retry, ["id", "pair"], "left_semi")).withColumn("salt", F.col("salt") + 1).repartition(parts, "bucket")
 
 
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
@@ -212,17 +253,24 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         paragraphs(F.col("next_text")).alias("following"),
     )
     rows = store(rows, "paragraphs")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("pair"), F.col("changed").alias("b")), F.struct(F.lit(1).alias("pair"), F.col("following").alias("b"))))
-    pairs = rows.select("bucket", "id", F.col("own").alias("a"), sides.alias("e")).select("bucket", "id", "e.pair", "a", "e.b").repartition(parts, "bucket")
-    found = differences(pairs).groupBy("id").agg(*[F.max(F.when(F.col("pair") == p, F.col("differing"))).alias(f"d{p}") for p in (0, 1)])
-    joined = rows.join(found, "id", "left")
-    near = lambda other, p: likeness(F.size("own"), F.size(other), F.coalesce(f"d{p}", F.lit(0)))
+    sides = ("changed", "following")
+    base = rows.select("id", *[sketch(F.col(c)).alias(c) for c in ("own", *sides)])
+    base = store(base.select("id", *[peeled(F.col("own"), F.col(c)).alias(f"d{p}") for p, c in enumerate(sides)]), "peeled")
+    failed = base.where("d0 IS NULL OR d1 IS NULL").select("id", F.explode(F.array_compact(F.array(*[F.when(F.col(f"d{p}").isNull(), p) for p in (0, 1)]))).alias("pair"))
+    failed = store(failed, "failed")
+    if not failed.isEmpty():
+        other = F.when(F.col("pair") == 0, F.col("changed")).otherwise(F.col("following"))
+        pairs = rows.join(failed, "id").select("bucket", "id", "pair", F.col("own").alias("a"), other.alias("b")).repartition(parts, "bucket")
+        found = differences(pairs).groupBy("id").agg(*[F.max(F.when(F.col("pair") == p, F.col("differing"))).alias(f"e{p}") for p in (0, 1)])
+        base = base.join(found, "id", "left").select("id", *[F.coalesce(f"d{p}", f"e{p}", F.lit(0)).alias(f"d{p}") for p in (0, 1)])
+    joined = rows.join(base, "id")
+    near = lambda other, p: likeness(F.size("own"), F.size(other), F.col(f"d{p}"))
     return joined.select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        sketch_string(F.col("own")).alias("fingerprint"),
-        sketch_string(F.col("changed")).alias("edited_fingerprint"),
+        written(sketch(F.col("own"))).alias("fingerprint"),
+        written(sketch(F.col("changed"))).alias("edited_fingerprint"),
         near("changed", 0).cast("double").alias("near_edited"),
         near("following", 1).cast("double").alias("near_next"),
     )
