@@ -106,6 +106,19 @@ def sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if few(small, MOST_ROWS) else small
 
 
+BIG, LEAST_HOT = 10_000, 1000
+
+
+def join_spread(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with a written table of one row per key, which says how many of the `total` rows a key has.
+
+    Keys of a BIGth of all rows or more (there are at most BIG of them) are broadcast, so no key of
+    the shuffle holds more rows than that.
+    """
+    hot = F.col(count) >= max(LEAST_HOT, total // BIG)
+    return rows.join(F.broadcast(per_key.where(hot)), on).unionByName(rows.join(per_key.where(~hot), on))
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of df, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -1,37 +1,49 @@
-"""Near copies by exact Jaccard overlap of word shingles.
+"""SimHash near-dedup at a Jaccard bound: wide fingerprints, tiled comparison, exact check.
 
-A SimHash radius cannot stand for a Jaccard bound, so here a link is a pair whose sets of
-`width`-word shingles overlap by `least` or more, computed exactly from both texts. Candidates share
-one of BANDS bands of ROWS MinHash values; a pair at 0.8 shares none with a chance of 3 in a million,
-wider pairs with less. Texts of one shingle set are one node. Inside a bucket, nodes are first
-linked to their next neighbours in an order of the band's own (rows grow with the bucket, not with
-its square), the links that hold are joined to components, and then every pair of a bucket that is
-still in two components is compared as well, so no candidate pair is left undecided.
+Links are pairs whose sets of `width`-word shingles overlap by `least` or more, computed exactly
+from both texts; SimHash finds the candidates. A fingerprint of 64 bits cannot stand for a bound of
+0.8 (pairs at 0.8 differ in 9.7 +- 2.9 of 64 bits), so a set gets several 64-bit SimHashes under
+different seeds. Two sets at 0.8 differ in a bit with a chance of 0.1515 at most. Bits are cut into
+`bands`; sets that agree on a whole band meet in that band's cell, and a pair at 0.8 misses all
+cells with a chance of MISSED, wider pairs with less. Bands get longer, and more of them are taken,
+as the corpus grows, so that a cell keeps about SHARE sets.
+
+Inside a cell, sets sorted by population count are cut into tiles, which are compared with numpy
+exclusive-or and bit counts over the first 128 bits; tile pairs whose population counts differ
+beyond the radius are skipped. Candidates are checked in three steps, so that a group of k near
+copies takes about 3 k checks and not k * k / 2:
+1. each set is checked against at most FIRST of those just before it in its cells;
+2. each set is checked against the one just before it in each cell that is in another component;
+3. in cells that still hold candidates from different components, all such pairs are checked.
+A cell of more than CELL sets is compared in parts: by a hash of its own in steps 1 and 2, and in
+step 3 each part of its largest component against each part of the others.
 
 Defined results. Words are split and lower-cased as for SimHash. A text of fewer words than a
-shingle is one shingle; texts of no words (null, empty, blanks) are copies of each other. Groups are
-connected components. Rows with a null doc_id stay. Rows that share a doc_id stay or go together.
-An empty table gives an empty table.
+shingle is one shingle; texts of no words (null, empty, blanks) are copies of each other. Texts of
+one shingle set are one node. Groups are connected components. Rows with a null doc_id stay. Rows
+that share a doc_id stay or go together. Long texts are shingled whole. An empty table gives an
+empty table. `drop_near_copies` returns all columns untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, store
-from .simhash import SEED, _utf8, components
+from .common import gathered, join_spread, ready, sized, store, unused
+from .simhash import SEED, TILE, _majority, _utf8, components
 
-BANDS, ROWS = 32, 5
-NEIGHBOURS = 2
-_random = np.random.default_rng(SEED)
-FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+APART, MISSED = 0.1515, 0.002  # a bit's chance to differ at 0.8; chance that a pair at 0.8 shares no cell
+RADIUS = 36  # of 128 bits: four standard deviations over the mean at 0.8
+LEAST_BITS, SHARE = 12, 512  # of a band; sets in a cell for which a band gets a bit longer
+CELL = 8192
+FIRST = 3
 
 
 def shingles(data: bytes, width: int = 5) -> np.ndarray:
@@ -56,28 +68,159 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 256):
-        least = np.minimum(least, (hashes[at : at + 256, None] * FACTORS + SHIFTS).min(axis=0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), SEED) - (1 << 63) for row in least.reshape(BANDS, ROWS)]
+def layout(n: int) -> tuple[int, int, int]:
+    """Bits of a band, bands, and 64-bit words of a fingerprint, for a corpus of n rows."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n) / SHARE)))
+    bands = math.ceil(math.log(MISSED) / math.log1p(-((1 - APART) ** bits)))
+    return bits, bands, -(-bits * bands // 64)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` SimHashes of a set, one for each reseeding of its members' hashes."""
+    out = np.empty(words, np.uint64)
+    for k in range(words):
+        h = hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(33)
+        out[k] = _majority(h)
+    return out
+
+
+def bands_of(fingerprints: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """The bands' values, a row for each fingerprint (a row of 64-bit words)."""
+    flat = np.unpackbits(fingerprints.view(np.uint8), axis=1, bitorder="little")[:, : bits * bands]
+    return flat.reshape(len(fingerprints), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _sets(width: int, bits: int, bands: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                keys, sizes, prints = [], [], np.zeros((batch.num_rows, words), np.uint64)
+                for row, data in enumerate(_utf8(batch.column(1))):
+                    hashes = shingles(data, width)
+                    keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sizes.append(len(hashes))
+                    if len(hashes):
+                        prints[row] = wide_fingerprint(hashes, words)
+                values = bands_of(prints, bits, bands)
+                ends = np.cumsum(np.where(np.array(sizes) > 0, bands, 0))
+                found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values[np.array(sizes) > 0].ravel()))
+                first = prints[:, :2].view(np.int64)
+                columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(first[:, 0]), pa.array(first[:, 1]), found]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "fp1", "fp2", "bands"])
+
+    return run
+
+
+CELLS = ("band", "value", "part", "pop", "node", "n", "component", "fp1", "fp2")
+
+
+def _candidates(least: float, every: bool):
+    """Pairs (u, v) of a cell within the radius whose components differ: each row with the last one
+    before it, or with every one before it. Rows come sorted by cell and population count."""
 
+    def pairs(cell: np.ndarray) -> Iterator[np.ndarray]:
+        pop, node, n, component = (cell[:, k] for k in (3, 4, 5, 6))
+        fp = np.ascontiguousarray(cell[:, 7:9]).view(np.uint64)
+        for a in range(0, len(cell), TILE):
+            rows = np.arange(a, min(a + TILE, len(cell)))
+            for b in range(a, -1, -TILE):
+                cols = np.arange(b, min(b + TILE, len(cell)))
+                if pop[rows[0]] - pop[cols[-1]] > RADIUS:
+                    break  # those before are still further away
+                if (component[rows] == component[rows[0]]).all() and (component[cols] == component[rows[0]]).all():
+                    continue
+                apart = np.bitwise_count(fp[rows, None, 0] ^ fp[None, cols, 0]).astype(np.uint8) + np.bitwise_count(fp[rows, None, 1] ^ fp[None, cols, 1])
+                near = (apart <= RADIUS) & (component[rows, None] != component[None, cols]) & (rows[:, None] > cols[None, :])
+                i, j = np.nonzero(near)
+                small, large = np.minimum(n[rows[i]], n[cols[j]]), np.maximum(n[rows[i]], n[cols[j]])
+                alike = small >= least * large - 1e-9  # a Jaccard bound bounds the ratio of the sizes
+                i, j = i[alike], j[alike]
+                if not every and len(i):
+                    last = np.append(np.flatnonzero(np.diff(i)), len(i) - 1)
+                    i, j = i[last], j[last]
+                if len(i):
+                    yield np.column_stack([node[rows[i]], node[cols[j]]])
+                if not every:
+                    rows = np.delete(rows, i)
+                    if not len(rows):
+                        break
+
+    def emit(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero((cells[1:, :3] != cells[:-1, :3]).any(axis=1)) + 1
+        found = [p for cell in np.split(cells, cuts) if len(cell) > 1 for p in pairs(cell)]
+        if found:
+            both = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], ["u", "v"])
 
-def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # rows of the last cell, which may go on in the next batch
         for batch in batches:
-            keys, sizes, found = [], [], []
-            for data in _utf8(batch.column(1)):
-                hashes = shingles(data, width)
-                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                sizes.append(len(hashes))
-                found.append(bands(hashes) if len(hashes) else [])
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "bands"])
+            if not batch.num_rows:
+                continue
+            data = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if held and (data[-1, :3] == held[0][0, :3]).all():
+                held.append(data)
+                continue
+            data = np.concatenate([*held, data])
+            cut = int(np.flatnonzero((data[:, :3] != data[-1, :3]).any(axis=1))[-1]) + 1 if (data[0, :3] != data[-1, :3]).any() else 0
+            yield from emit(data[:cut])
+            held = [data[cut:].copy()]
+        if held:
+            yield from emit(np.concatenate(held))
 
     return run
 
 
+def _tiled(cells: DataFrame, least: float, every: bool) -> DataFrame:
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(c).cast("long") for c in CELLS]
+    dealt = cells.select(*columns).repartition(n, *CELLS[:3]).sortWithinPartitions(*CELLS[:4])
+    return dealt.mapInArrow(_candidates(least, every), "u long, v long").distinct()
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """A row for each set and band; population counts are of the bits that tiles compare."""
+    pop = F.bit_count("fp1") + F.bit_count("fp2")
+    return nodes.select("node", "n", "component", "fp1", "fp2", pop.alias("pop"), F.posexplode("bands").alias("band", "value"))
+
+
+def _parted(dealt: DataFrame, hot: DataFrame) -> DataFrame:
+    """Cells of at most about CELL sets: those of more are cut by a hash that differs from band to band."""
+    part = F.coalesce(F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / F.lit(CELL))), F.lit(0))
+    return dealt.join(sized(hot), ["band", "value"], "left").withColumn("part", part)
+
+
+def _open_cells(dealt: DataFrame) -> DataFrame:
+    """Cells that hold more than one component, their largest component and its rows, and the others' rows."""
+    sizes = dealt.groupBy("band", "value", "component").agg(F.count("*").alias("c"))
+    cells = sizes.groupBy("band", "value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("k"))
+    up = lambda x: F.greatest(F.lit(1), F.ceil(x / F.lit(CELL))).cast("int")
+    return cells.where("k > 1").select("band", "value", F.col("top.component").alias("largest"), up(F.col("top.c")).alias("mine"), up(F.col("all") - F.col("top.c")).alias("others"))
+
+
+def _all_pairs_cells(dealt: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows of open cells so placed that any two of different components meet in some part.
+
+    Parts are numbered by (part of the largest component, part of the others) and, for the others
+    among themselves, below zero by pairs of their parts.
+    """
+    rows = dealt.join(cells, ["band", "value"])
+    own = F.col("component") == F.col("largest")
+    cut = lambda k: F.pmod(F.xxhash64("node", "band"), k.cast("long"))
+    a, b = F.col("mine").cast("long"), F.col("others").cast("long")
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
+    mine = F.transform(upto(b), lambda o: cut(a) * b + o)
+    met = F.transform(upto(a), lambda m: m * b + cut(b))
+    among = F.transform(upto(b), lambda o: -1 - (F.least(o, cut(b)) * b + F.greatest(o, cut(b))))
+    return rows.withColumn("part", F.explode(F.when(own, mine).otherwise(F.concat(met, among))))
+
+
 def _compare(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -96,7 +239,8 @@ def _compare(width: int, least: float):
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Of the pairs (u, v) those whose texts overlap enough."""
-    texts = store(texts.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "pair-texts")
+    wanted = store(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "pair-nodes")
+    texts = store(texts.join(sized(wanted), "node", "left_semi"), "pair-texts")
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     both = both.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
     return store(both.mapInArrow(_compare(width, least), "u long, v long"), "overlap-links")
@@ -105,35 +249,48 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Data
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable, itself included) of every row with a doc_id."""
     ready(docs.sparkSession)
+    if not 0.8 <= least <= 1:
+        raise ValueError("bands and radius are laid out for a bound of 0.8 or more")
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = store(plain.mapInArrow(_sets(width), "doc_id long, key binary, n long, bands array<long>"), "shingle-sets")
-    same = rows.groupBy("key").agg(F.min("doc_id").alias("node"))
-    named = store(rows.join(same, "key").select("doc_id", "node", "n", "bands"), "shingle-nodes")
-    dealt = named.where("doc_id = node").select("node", "n", F.posexplode("bands").alias("band", "value"))
-    order = Window.partitionBy("band", "value").orderBy(F.xxhash64("node", "band"), "node")
-    next_ones = F.array(*[F.struct(F.lead("node", k).over(order).alias("node"), F.lead("n", k).over(order).alias("n")) for k in range(1, NEIGHBOURS + 1)])
-    placed = store(dealt.withColumn("size", F.count("*").over(Window.partitionBy("band", "value"))).where("size > 1").select("band", "value", "node", "n", next_ones.alias("near")), "buckets")
-    # J >= least bounds the ratio of the sets' sizes
-    alike = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9) & (F.col("node") != F.col("other"))
-    near = placed.select("node", "n", F.explode("near").alias("e")).select("node", "n", F.col("e.node").alias("other"), F.col("e.n").alias("m")).where(alike)
-    pair = (F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-    tried = store(near.select(*pair).distinct(), "near-pairs")
+    total = plain.count()
+    schema = "doc_id long, key binary, n long, fp1 long, fp2 long, bands array<long>"
+    rows = store(gathered(plain).mapInArrow(_sets(width, *layout(total)), schema), "shingle-sets")
+    same = store(rows.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "shingle-nodes")
+    named = join_spread(rows.select("doc_id", "key"), same, ["key"], "rows", total).select("doc_id", "node")
+    sets = rows.join(same.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
+    nodes = store(sets.select(F.col("doc_id").alias("node"), "n", "fp1", "fp2", "bands").withColumn("component", F.col("node")), "shingle-prints")
+    dealt = _dealt(nodes)
+    hot = store(dealt.groupBy("band", "value").agg(F.count("*").alias("size")).where(F.col("size") > CELL), "hot-cells")
     texts = plain.withColumnRenamed("doc_id", "node")
     # rows that share a doc_id link all of its nodes
     ids = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.collect_set("node").alias("vs")).where(F.size("vs") > 1).select("u", F.explode("vs").alias("v"))
-    links = _links(tried, texts, width, least).unionByName(ids)
-    found = store(components(links), "overlap-components")
-    grouped = placed.select("band", "value", "node", "n").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    open_ = grouped.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "value")
-    left = store(grouped.join(open_, ["band", "value"], "left_semi"), "open-buckets")
-    others = left.select("band", "value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = left.join(others, ["band", "value"]).where("node < other AND c <> d").where(alike).select(*pair).distinct().join(tried, ["u", "v"], "left_anti")
-    whole = components(links.unionByName(_links(store(rest, "open-pairs"), texts, width, least)))
-    return named.select("doc_id", "node").join(whole, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    links = store(ids.select("u", "v"), "shared-ids")
+
+    def grouped() -> DataFrame:
+        found = store(components(links), "overlap-components")
+        return store(nodes.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "shingle-components")
+
+    seen = _tiled(_parted(dealt, hot), least, False)
+    ordered = F.sort_array(F.collect_list(F.struct(F.xxhash64("u", "v").alias("h"), "u")))  # at most one for each band
+    tried = store(seen.groupBy("v").agg(F.slice(ordered, 1, FIRST).alias("e")).select(F.explode("e").alias("e"), "v").select("e.u", "v"), "near-pairs")
+    links = links.unionByName(_links(tried, texts, width, least))
+    for every in (False, True):
+        dealt = _dealt(grouped())
+        cells = _parted(dealt, hot)
+        if every:
+            cells = _all_pairs_cells(dealt, store(_open_cells(dealt), "open-cells"))
+        more = store(_tiled(cells, least, every).join(tried, ["u", "v"], "left_anti"), "near-pairs")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(_links(more, texts, width, least))
+        tried = tried.unionByName(more)
+    whole = components(links)
+    return named.join(whole, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """The document with the smallest doc_id of each group, with all its columns."""
+    (gone,) = unused(docs, "gone")
     groups = near_groups(docs, id_col, text_col, width, least)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    lesser = store(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
+    return docs.join(sized(lesser), F.col(id_col) == F.col(gone), "left_anti")

@@ -1,8 +1,10 @@
 """SimHash near-dedup: tiled exact comparison of 64-bit fingerprints.
 
 Fingerprints are compared exactly, tile against tile, with numpy exclusive-or and bit counts.
-Fingerprints within `radius` bits of each other agree on at least one of radius + 1 bit blocks, so
-each fingerprint is dealt to one cell per block value. A cell is sorted by population count and
+Fingerprints within `radius` bits of each other agree on all but `radius` of any number of bit
+blocks, so each fingerprint is dealt to one cell for each choice of the others and their values.
+More blocks make longer keys and so smaller cells, but more of them; their number grows with the
+corpus so that a cell keeps about SHARE fingerprints. A cell is sorted by population count and
 cut into tiles; tile pairs whose population counts differ by more than the radius are skipped.
 A cell with too many fingerprints is itself dealt out tile pair by tile pair, again only for
 population counts within the radius, so no task holds more than two tiles' rows of a hot cell.
@@ -12,12 +14,14 @@ connected components are found by alternating large-star and small-star steps ov
 Defined results. A text of no words (null, empty, blanks) has fingerprint zero and links like any
 other. A text of fewer words than a shingle is one shingle. Equal fingerprints are one node, so
 copies are never paired. Rows with a null doc_id get a fingerprint and no component. Rows that
-share a doc_id are one node in the component graph. An empty table gives an empty table.
+share a doc_id are one node in the component graph. An empty table gives an empty table. Texts are
+shingled whole, however long. `drop_near_copies` returns all columns untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, store
+from .common import MOST_ROWS, Scratch, gathered, join_spread, ready, sized, store, unused
 
 TILE = 512
 CELL = 8192  # fingerprints that one cell may hold before it is dealt out by tile pairs
+SHARE = 1024  # fingerprints in a cell for which another block is added
 SEED = 42
 
 
@@ -69,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(x, width) for x in _utf8(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return gathered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, pops: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
@@ -139,18 +144,28 @@ def _links(radius: int):
     return run
 
 
+def block_count(n: int, radius: int) -> int:
+    """The fewest blocks, radius + 1 at least, whose cells hold about SHARE of n fingerprints."""
+    blocks = radius + 1
+    while n >> (64 * (blocks - radius) // blocks) > SHARE:
+        blocks += 1
+    return blocks
+
+
 def link_forest(nodes: DataFrame, radius: int = 4, blocks: int | None = None, cell: int = CELL) -> DataFrame:
     """(u, v) node links that connect exactly what lies within `radius` bits, directly or in steps.
 
-    nodes: fp, node (distinct fingerprints). blocks defaults to radius + 1; every pair within the
-    radius agrees on one block, whatever their number from there on.
+    nodes: fp, node (distinct fingerprints), a written table. blocks defaults to `block_count`.
     """
-    blocks = blocks or radius + 1
+    blocks = blocks or block_count(nodes.count(), radius)
     cuts = [64 * k // blocks for k in range(blocks + 1)]
-    values = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a).alias("value"))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
-    ]
+    part = [F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a) for a, b in zip(cuts, cuts[1:])]
+    values = []
+    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        value = F.lit(0).cast("long")
+        for c in chosen:
+            value = F.shiftleft(value, cuts[c + 1] - cuts[c]).bitwiseOR(part[c])
+        values.append(F.struct(F.lit(k).alias("block"), value.alias("value")))
     dealt = nodes.select("fp", "node", F.bit_count("fp").alias("pop"), F.explode(F.array(*values)).alias("k")).select("k.block", "k.value", "pop", "fp", "node")
     # only cells over the limit reach these two small tables
     sizes = dealt.groupBy("block", "value", "pop").agg(F.count("*").alias("n"))
@@ -184,19 +199,25 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each round cuts its lineage in the shared folder
     and stops when the links no longer change.
     """
-    edges = store(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    rounds = Scratch("links")
+    edges = rounds.keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    def met(e: DataFrame, count: int) -> DataFrame:
+        """e with each u's smallest neighbour m; the centre of a large star is broadcast, not shuffled."""
+        lows = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        return join_spread(e, store(lows, "lows"), ["u"], "degree", count) if count > MOST_ROWS else e.join(lows, "u")
+
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = store(small.where("u <> v").distinct(), "links")
+        large = met(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        if before[0] > MOST_ROWS:
+            large = store(large, "large-star")
+        small = met(large, before[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = rounds.keep(small.where("u <> v").distinct())
         after = mark(edges)
         if after == before:
             break
@@ -207,11 +228,12 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """Per row: doc_id, fp, component_id (smallest doc_id reachable, itself included)."""
     rows = store(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = store(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(link_forest(nodes, radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    known = rows.where("doc_id IS NOT NULL").join(named, "fp").select("doc_id", "fp", "component_id")
-    return known.unionByName(rows.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
+    known = rows.where("doc_id IS NOT NULL")
+    nodes = store(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "nodes")
+    found = components(link_forest(nodes.select("fp", "node"), radius))
+    named = store(nodes.join(found, "node", "left").select("fp", "rows", F.coalesce("component", "node").alias("component_id")), "named")
+    joined = join_spread(known, named, ["fp"], "rows", rows.count()).select("doc_id", "fp", "component_id")
+    return joined.unionByName(rows.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
@@ -219,9 +241,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that share a doc_id stay or go together; rows with a null doc_id stay.
     """
+    (gone,) = unused(docs, "gone")
     groups = near_groups(docs, id_col, text_col, radius, width)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    lesser = store(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
+    return docs.join(sized(lesser), F.col(id_col) == F.col(gone), "left_anti")
 
 
 def hex_fingerprint(fp):
