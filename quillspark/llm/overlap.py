@@ -9,14 +9,16 @@ cells with a chance of MISSED, wider pairs with less. Bands get longer, and more
 as the corpus grows, so that a cell keeps about SHARE sets.
 
 Inside a cell, sets sorted by population count are cut into tiles, which are compared with numpy
-exclusive-or and bit counts over the first 128 bits; tile pairs whose population counts differ
-beyond the radius are skipped. Candidates are checked in three steps, so that a group of k near
-copies takes about 3 k checks and not k * k / 2:
-1. each set is checked against at most FIRST of those just before it in its cells;
-2. each set is checked against the one just before it in each cell that is in another component;
-3. in cells that still hold candidates from different components, all such pairs are checked.
-A cell of more than CELL sets is compared in parts: by a hash of its own in steps 1 and 2, and in
-step 3 each part of its largest component against each part of the others.
+exclusive-or and bit counts over the first 256 bits; tile pairs whose population counts differ
+beyond the radius are skipped. A cell gives a spanning forest of what lies within the radius, never
+its pairs; the forests' components are the candidate groups. A cell of more than CELL sets is first
+cut by a hash of its own, and then, where it still holds several components, each part of the
+largest is compared with each part of the others.
+
+Groups are checked exactly: the texts of a tile of a group meet in one task, the sizes of all
+their sets' intersections are one product of 0/1 matrices, and again only a spanning forest leaves
+the task. A group of more than one tile is cut by one hash, then by another, and last, where it
+still holds several components, each tile of the largest is compared with each tile of the others.
 
 Defined results. Words are split and lower-cased as for SimHash. A text of fewer words than a
 shingle is one shingle; texts of no words (null, empty, blanks) are copies of each other. Texts of
@@ -40,10 +42,11 @@ from .common import gathered, join_spread, ready, sized, store, unused
 from .simhash import SEED, TILE, _majority, _utf8, components
 
 APART, MISSED = 0.1515, 0.002  # a bit's chance to differ at 0.8; chance that a pair at 0.8 shares no cell
-RADIUS = 36  # of 128 bits: four standard deviations over the mean at 0.8
+WORDS, RADIUS = 4, 62  # 64-bit words that tiles compare; four standard deviations over the mean at 0.8
 LEAST_BITS, SHARE = 12, 512  # of a band; sets in a cell for which a band gets a bit longer
 CELL = 8192
-FIRST = 3
+TEXTS, MEMBERS = 256, 1 << 20  # texts, and shingles of them, that a tile of a group holds
+PRINTS = [f"fp{k}" for k in range(WORDS)]
 
 
 def shingles(data: bytes, width: int = 5) -> np.ndarray:
@@ -110,140 +113,205 @@ def _sets(width: int, bits: int, bands: int, words: int):
                 values = bands_of(prints, bits, bands)
                 ends = np.cumsum(np.where(np.array(sizes) > 0, bands, 0))
                 found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values[np.array(sizes) > 0].ravel()))
-                first = prints[:, :2].view(np.int64)
-                columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(first[:, 0]), pa.array(first[:, 1]), found]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "fp1", "fp2", "bands"])
+                first = [pa.array(prints[:, k].view(np.int64)) for k in range(WORDS)]
+                columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *first, found]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", *PRINTS, "bands"])
 
     return run
 
 
-CELLS = ("band", "value", "part", "pop", "node", "n", "component", "fp1", "fp2")
-
-
-def _candidates(least: float, every: bool):
-    """Pairs (u, v) of a cell within the radius whose components differ: each row with the last one
-    before it, or with every one before it. Rows come sorted by cell and population count."""
-
-    def pairs(cell: np.ndarray) -> Iterator[np.ndarray]:
-        pop, node, n, component = (cell[:, k] for k in (3, 4, 5, 6))
-        fp = np.ascontiguousarray(cell[:, 7:9]).view(np.uint64)
-        for a in range(0, len(cell), TILE):
-            rows = np.arange(a, min(a + TILE, len(cell)))
-            for b in range(a, -1, -TILE):
-                cols = np.arange(b, min(b + TILE, len(cell)))
-                if pop[rows[0]] - pop[cols[-1]] > RADIUS:
-                    break  # those before are still further away
-                if (component[rows] == component[rows[0]]).all() and (component[cols] == component[rows[0]]).all():
-                    continue
-                apart = np.bitwise_count(fp[rows, None, 0] ^ fp[None, cols, 0]).astype(np.uint8) + np.bitwise_count(fp[rows, None, 1] ^ fp[None, cols, 1])
-                near = (apart <= RADIUS) & (component[rows, None] != component[None, cols]) & (rows[:, None] > cols[None, :])
-                i, j = np.nonzero(near)
-                small, large = np.minimum(n[rows[i]], n[cols[j]]), np.maximum(n[rows[i]], n[cols[j]])
-                alike = small >= least * large - 1e-9  # a Jaccard bound bounds the ratio of the sizes
-                i, j = i[alike], j[alike]
-                if not every and len(i):
-                    last = np.append(np.flatnonzero(np.diff(i)), len(i) - 1)
-                    i, j = i[last], j[last]
-                if len(i):
-                    yield np.column_stack([node[rows[i]], node[cols[j]]])
-                if not every:
-                    rows = np.delete(rows, i)
-                    if not len(rows):
-                        break
-
-    def emit(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero((cells[1:, :3] != cells[:-1, :3]).any(axis=1)) + 1
-        found = [p for cell in np.split(cells, cuts) if len(cell) > 1 for p in pairs(cell)]
-        if found:
-            both = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], ["u", "v"])
+CELLS = ("band", "value", "part", "pop", "node", "n", "component", *PRINTS)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows that agree on the first `keys` columns, which they come sorted by; they may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([c.to_numpy() for c in batch.columns[:keys]], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if held and (key[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *cuts[:-1]], cuts):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+            held = []
+        held.append(batch.slice(cuts[-1] if len(cuts) else 0))
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the labels of all pairs (i, j)."""
+    while len(i):
+        a, b = label[i], label[j]
+        split = a != b
+        i, j, a, b = i[split], j[split], a[split], b[split]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(flat := label[label], label):
+            label[:] = flat
+
+
+def _edges(node: np.ndarray, label: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """(u, v) for each place whose label is no longer the one that it started with."""
+    moved = label != start
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["u", "v"])
+
+
+def _starts(component: np.ndarray) -> np.ndarray:
+    """First place of each row's component."""
+    _, first, inverse = np.unique(component, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def _forest(least: float):
+    """Links between the components of each cell's rows, which come sorted by population count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last cell, which may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
+        for table in _grouped(batches, 3):
+            if table.num_rows < 2:
                 continue
-            data = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            if held and (data[-1, :3] == held[0][0, :3]).all():
-                held.append(data)
-                continue
-            data = np.concatenate([*held, data])
-            cut = int(np.flatnonzero((data[:, :3] != data[-1, :3]).any(axis=1))[-1]) + 1 if (data[0, :3] != data[-1, :3]).any() else 0
-            yield from emit(data[:cut])
-            held = [data[cut:].copy()]
-        if held:
-            yield from emit(np.concatenate(held))
+            pop, node, n, component = (table.column(k).to_numpy() for k in range(3, 7))
+            fp = np.column_stack([c.to_numpy() for c in table.columns[7:]]).view(np.uint64)
+            start = _starts(component)
+            label = start.copy()
+            for a in range(0, len(node), TILE):
+                rows = slice(a, a + TILE)
+                for b in range(a, -1, -TILE):
+                    cols = slice(b, b + TILE)
+                    if pop[rows][0] - pop[cols][-1] > RADIUS:
+                        break  # those before are still further away
+                    if (label[rows] == label[a]).all() and (label[cols] == label[a]).all():
+                        continue
+                    apart = np.zeros((len(node[rows]), len(node[cols])), np.int16)
+                    for w in range(WORDS):
+                        apart += np.bitwise_count(fp[rows, None, w] ^ fp[None, cols, w])
+                    i, j = np.nonzero(apart <= RADIUS)
+                    i, j = i + a, j + b
+                    # a Jaccard bound bounds the ratio of the sizes
+                    alike = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+                    _union(label, i[alike], j[alike])
+            yield _edges(node, label, start)
 
     return run
 
 
-def _tiled(cells: DataFrame, least: float, every: bool) -> DataFrame:
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = [F.col(c).cast("long") for c in CELLS]
-    dealt = cells.select(*columns).repartition(n, *CELLS[:3]).sortWithinPartitions(*CELLS[:4])
-    return dealt.mapInArrow(_candidates(least, every), "u long, v long").distinct()
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the members that several sets hold."""
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keep = count[code] > 1
+    owner, code = owner[keep], (np.cumsum(count > 1) - 1)[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 8192):
+        a, b = np.searchsorted(code, (first, first + 8192))
+        block = np.zeros((len(sets), 8192), np.float32)
+        block[owner[a:b], code[a:b] - first] = 1
+        out += block @ block.T
+    return out
 
 
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """A row for each set and band; population counts are of the bits that tiles compare."""
-    pop = F.bit_count("fp1") + F.bit_count("fp2")
-    return nodes.select("node", "n", "component", "fp1", "fp2", pop.alias("pop"), F.posexplode("bands").alias("band", "value"))
+def _checked(width: int, least: float):
+    """Links between the components of each tile's texts that overlap by `least` or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, 2):
+            node, component = (table.column(k).to_numpy() for k in (2, 3))
+            start = _starts(component)
+            if (start == 0).all():
+                continue
+            sets = [shingles(x, width) for x in _utf8(table.column(4).combine_chunks())]
+            size = np.array([len(x) for x in sets])
+            both = _shared(sets)
+            union = size[:, None] + size[None, :] - both
+            label = start.copy()
+            _union(label, *np.nonzero(np.where(union == 0, True, both >= least * union - 1e-9)))
+            yield _edges(node, label, start)
+
+    return run
 
-def _parted(dealt: DataFrame, hot: DataFrame) -> DataFrame:
-    """Cells of at most about CELL sets: those of more are cut by a hash that differs from band to band."""
-    part = F.coalesce(F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / F.lit(CELL))), F.lit(0))
-    return dealt.join(sized(hot), ["band", "value"], "left").withColumn("part", part)
 
+def _placed(df: DataFrame, keys: list[str], columns: list[str], run) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*columns).repartition(n, *keys).sortWithinPartitions(*columns[: len(keys) + 1]).mapInArrow(run, "u long, v long")
 
-def _open_cells(dealt: DataFrame) -> DataFrame:
-    """Cells that hold more than one component, their largest component and its rows, and the others' rows."""
-    sizes = dealt.groupBy("band", "value", "component").agg(F.count("*").alias("c"))
-    cells = sizes.groupBy("band", "value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("k"))
-    up = lambda x: F.greatest(F.lit(1), F.ceil(x / F.lit(CELL))).cast("int")
-    return cells.where("k > 1").select("band", "value", F.col("top.component").alias("largest"), up(F.col("top.c")).alias("mine"), up(F.col("all") - F.col("top.c")).alias("others"))
 
+def _tiled(cells: DataFrame, least: float) -> DataFrame:
+    cells = cells.select(*[F.col(c).cast("long").alias(c) for c in CELLS])
+    return _placed(cells, list(CELLS[:3]), list(CELLS), _forest(least))
 
-def _all_pairs_cells(dealt: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows of open cells so placed that any two of different components meet in some part.
 
-    Parts are numbered by (part of the largest component, part of the others) and, for the others
-    among themselves, below zero by pairs of their parts.
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """A row for each set and band; population counts are of the bits that tiles compare."""
+    pop = sum((F.bit_count(c) for c in PRINTS[1:]), F.bit_count(PRINTS[0]))
+    return nodes.select("node", "n", "component", *PRINTS, pop.alias("pop"), F.posexplode("bands").alias("band", "value"))
+
+
+def _across(rows: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
+    """Rows whose components differ so placed that any two of them meet in some part of their group.
+
+    A column `most` of the rows says how many a part holds. Parts are numbered by (part of the largest component, part of the
+    others) and, for the others among themselves, below zero by pairs of their parts; the largest
+    component's rows do not meet each other. Groups of one component are dropped.
     """
-    rows = dealt.join(cells, ["band", "value"])
-    own = F.col("component") == F.col("largest")
-    cut = lambda k: F.pmod(F.xxhash64("node", "band"), k.cast("long"))
-    a, b = F.col("mine").cast("long"), F.col("others").cast("long")
+    sizes = rows.groupBy(*keys, "component").agg(F.count("*").alias("c"), F.max("most").alias("most"))
+    groups = sizes.groupBy(*keys).agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("k"), F.max("most").alias("most"))
+    up = lambda x: F.greatest(F.lit(1), F.ceil(x / F.col("most"))).cast("long")
+    groups = groups.where("k > 1").select(*keys, F.col("top.component").alias("largest"), up(F.col("top.c")).alias("mine"), up(F.col("all") - F.col("top.c")).alias("others"))
+    rows = rows.join(sized(store(groups, "open-groups")), keys)
+    cut = lambda k: F.pmod(F.xxhash64(*salt), k)
+    a, b = F.col("mine"), F.col("others")
     upto = lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
     mine = F.transform(upto(b), lambda o: cut(a) * b + o)
     met = F.transform(upto(a), lambda m: m * b + cut(b))
     among = F.transform(upto(b), lambda o: -1 - (F.least(o, cut(b)) * b + F.greatest(o, cut(b))))
-    return rows.withColumn("part", F.explode(F.when(own, mine).otherwise(F.concat(met, among))))
+    return rows.withColumn("part", F.explode(F.when(F.col("component") == F.col("largest"), mine).otherwise(F.concat(met, among))))
 
 
-def _compare(width: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            right = []
-            for u, a, b in zip(us, _utf8(batch.column(2)), _utf8(batch.column(3))):
-                if (u, a) != last:
-                    last, held = (u, a), shingles(a, width)
-                right.append(jaccard(held, shingles(b, width)) >= least)
-            keep = np.flatnonzero(right)
-            yield pa.RecordBatch.from_arrays([pa.array([us[k] for k in keep], pa.int64()), pa.array([vs[k] for k in keep], pa.int64())], ["u", "v"])
-
-    return run
-
-
-def _links(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Of the pairs (u, v) those whose texts overlap enough."""
-    wanted = store(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "pair-nodes")
-    texts = store(texts.join(sized(wanted), "node", "left_semi"), "pair-texts")
-    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    both = both.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
-    return store(both.mapInArrow(_compare(width, least), "u long, v long"), "overlap-links")
+def _candidate_groups(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, component): components of what lies within the radius, for nodes that are not alone in theirs."""
+    dealt = _dealt(nodes.withColumn("component", F.col("node")))
+    hot = store(dealt.groupBy("band", "value").agg(F.count("*").alias("size")).where(F.col("size") > CELL), "hot-cells")
+    part = F.coalesce(F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / F.lit(CELL))), F.lit(0))
+    links = store(_tiled(dealt.join(sized(hot), ["band", "value"], "left").withColumn("part", part), least), "candidate-links")
+    found = components(links)
+    if hot.isEmpty():
+        return found
+    met = nodes.join(store(found, "candidates"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowded = _dealt(met).join(sized(hot.drop("size")), ["band", "value"], "left_semi")
+    more = _tiled(_across(crowded.withColumn("most", F.lit(CELL)), ["band", "value"], ["node", "band"]), least)
+    return components(links.unionByName(store(more, "candidate-links")))
+
+
+def _verified(members: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Links of the candidate groups (group, node, n) that hold exactly."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    tiles = F.greatest(F.ceil(F.col("c") / F.lit(TEXTS)), F.ceil(F.col("m") / F.lit(MEMBERS))).cast("long")
+    members = store(members.join(sizes.select("group", "c", tiles.alias("tiles")), "group"), "members")
+    texts = store(texts.join(sized(members.select("node")), "node", "left_semi"), "group-texts")
+    columns = ["group", "part", "node", "component", "text"]
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return store(_placed(rows.join(texts, "node"), ["group", "part"], columns, _checked(width, least)), "checked-links")
+
+    alone = members.withColumn("component", F.col("node"))
+    links = compared(alone.withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles"))))
+    large = members.where("tiles > 1")
+    if large.isEmpty():
+        return links
+
+    def known() -> DataFrame:
+        found = store(components(links), "checked-components")
+        return large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    links = links.unionByName(compared(known().withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")))))
+    share = F.greatest(F.lit(1.0), F.col("c") / F.col("tiles"))  # as the group's tiles hold
+    return links.unionByName(compared(_across(known().withColumn("most", share), ["group"], ["node", "group"])))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
@@ -253,38 +321,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("bands and radius are laid out for a bound of 0.8 or more")
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = plain.count()
-    schema = "doc_id long, key binary, n long, fp1 long, fp2 long, bands array<long>"
+    schema = f"doc_id long, key binary, n long, {', '.join(f'{c} long' for c in PRINTS)}, bands array<long>"
     rows = store(gathered(plain).mapInArrow(_sets(width, *layout(total)), schema), "shingle-sets")
     same = store(rows.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "shingle-nodes")
     named = join_spread(rows.select("doc_id", "key"), same, ["key"], "rows", total).select("doc_id", "node")
     sets = rows.join(same.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
-    nodes = store(sets.select(F.col("doc_id").alias("node"), "n", "fp1", "fp2", "bands").withColumn("component", F.col("node")), "shingle-prints")
-    dealt = _dealt(nodes)
-    hot = store(dealt.groupBy("band", "value").agg(F.count("*").alias("size")).where(F.col("size") > CELL), "hot-cells")
-    texts = plain.withColumnRenamed("doc_id", "node")
+    nodes = store(sets.select(F.col("doc_id").alias("node"), "n", *PRINTS, "bands"), "shingle-prints")
+    found = store(_candidate_groups(nodes, least), "candidate-groups")
+    # the smallest node of a group names it, and is not among those found
+    whole = found.select("node", F.col("component").alias("group")).unionByName(found.select(F.col("component").alias("node"), F.col("component").alias("group")).distinct())
+    members = whole.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node").select("group", "node", "n")
+    links = _verified(members, plain.withColumnRenamed("doc_id", "node"), width, least)
     # rows that share a doc_id link all of its nodes
     ids = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.collect_set("node").alias("vs")).where(F.size("vs") > 1).select("u", F.explode("vs").alias("v"))
-    links = store(ids.select("u", "v"), "shared-ids")
-
-    def grouped() -> DataFrame:
-        found = store(components(links), "overlap-components")
-        return store(nodes.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "shingle-components")
-
-    seen = _tiled(_parted(dealt, hot), least, False)
-    ordered = F.sort_array(F.collect_list(F.struct(F.xxhash64("u", "v").alias("h"), "u")))  # at most one for each band
-    tried = store(seen.groupBy("v").agg(F.slice(ordered, 1, FIRST).alias("e")).select(F.explode("e").alias("e"), "v").select("e.u", "v"), "near-pairs")
-    links = links.unionByName(_links(tried, texts, width, least))
-    for every in (False, True):
-        dealt = _dealt(grouped())
-        cells = _parted(dealt, hot)
-        if every:
-            cells = _all_pairs_cells(dealt, store(_open_cells(dealt), "open-cells"))
-        more = store(_tiled(cells, least, every).join(tried, ["u", "v"], "left_anti"), "near-pairs")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(_links(more, texts, width, least))
-        tried = tried.unionByName(more)
-    whole = components(links)
+    whole = components(links.unionByName(ids))
     return named.join(whole, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
 
 
