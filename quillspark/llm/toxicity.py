@@ -46,7 +46,7 @@ WINDOW, STEP = 16, 8
 RATE, DECAY, WARM, GAIN = 0.05, 0.95, 10, 4.0  # step size, shrinkage a pass, passes over random windows, softmax's first scale
 MIN_DOCS = 3  # training documents that must share an n-gram
 TOP, OUTLIER = 8, 3.0  # words that count as a document's worst, and the logit of a bad word
-ROWS = 256  # documents scored at once
+ROWS, WORDS = 256, 20_000  # documents scored, and words hashed, at once
 CACHE = 500_000  # words a worker remembers before it starts anew
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,12 +62,24 @@ def tokens(texts: pa.Array) -> pa.ListArray:
 
 def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of each word, side by side, and how many each has: the word itself and its n-grams."""
+    parts = [_subwords(words.slice(k, WORDS)) for k in range(0, len(words), WORDS)]
+    return tuple(np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in (0, 1))
+
+
+def word_means(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean of the table rows' values for each word, some words at a time."""
+    ends, out = np.concatenate(([0], np.cumsum(sizes))), np.empty(len(sizes))
+    for k in range(0, len(sizes), WORDS):
+        stop = min(k + WORDS, len(sizes))
+        out[k:stop] = np.add.reduceat(values[rows[ends[k] : ends[stop]]], ends[k:stop] - ends[k]) / sizes[k:stop]
+    return out
+
+
+def _subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     marked = "".join(f"<{w}>" for w in words.to_pylist())
     codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
     length = pc.utf8_length(words).to_numpy().astype(np.int64) + 2
     first = np.cumsum(length) - length
-    if not len(length):
-        return np.empty(0, np.int64), length
     power = np.cumprod(np.full(int(length.max()), PRIME, np.uint64))
     inside = np.arange(len(codes)) - np.repeat(first, length)
     keys, owners = [np.add.reduceat(codes * power[inside], first)], [np.arange(len(length))]
@@ -82,9 +94,8 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     key, owner = np.concatenate(keys), np.concatenate(owners)
     key ^= key >> np.uint64(32)
     key *= PRIME
-    rows = (key >> np.uint64(40)).astype(np.int64) % BUCKETS
-    order = np.argsort(owner, kind="stable")
-    return rows[order], np.bincount(owner, minlength=len(length))
+    rows = (key >> np.uint64(48)).astype(np.uint16)  # the table has 2**16 rows
+    return rows[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(length))
 
 
 @dataclass
@@ -97,8 +108,7 @@ class Model:
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Each word's share of the logit."""
-        rows, sizes = subwords(words)
-        return np.add.reduceat(self.grams[rows], np.cumsum(sizes) - sizes) / sizes if len(sizes) else np.empty(0)
+        return word_means(self.grams, *subwords(words))
 
     def word(self, token: str) -> float:
         return float(self.numbers(pa.array([token.lower().strip(STRIP)], pa.large_string()))[0])
@@ -196,7 +206,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, epochs:
     wdoc, wfirst = np.repeat(np.arange(len(train)), count), np.cumsum(count) - count
     share = np.array([max(1.0, np.sqrt((1 - target).sum() / target.sum())), 1.0])  # the rare class weighs more
     for epoch in range(epochs):
-        number = np.add.reduceat((table @ (out[1] - out[0]))[flat], begin) / sizes
+        number = word_means(table @ (out[1] - out[0]), flat, sizes)
         total = np.concatenate(([0.0], np.cumsum(number[use])))
         means = (total[wstart + wlen] - total[wstart]) / wlen
         best = np.maximum.reduceat(means, wfirst)
