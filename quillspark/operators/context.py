@@ -172,17 +172,17 @@ def near_pairs(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFram
     before = (F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_ordinal") < F.col("b_ordinal")))
     sizes = (F.col("a_n") >= F.col("b_n") * p.alike - 1e-9) & (F.col("b_n") >= F.col("a_n") * p.alike - 1e-9)
     ids = [f"{s}_{c}" for s in "ab" for c in (*ORDER, "token_estimate")]
-    pairs = a.join(b, ["bucket", "figures", "gram"]).where(before & sizes).select("bucket", *ids).distinct()
+    pairs = a.join(b, ["bucket", "figures", "gram"]).where(before & sizes).select("bucket", "figures", *ids).distinct()
     grams = rows.select(*ORDER, "grams")
     for s in "ab":
         pairs = pairs.join(grams.select(*[F.col(c).alias(f"{s}_{c}") for c in ORDER], F.col("grams").alias(f"{s}_grams")), [f"{s}_{c}" for c in ORDER])
-    return pairs.withColumn("jaccard", T.jaccard(F.col("a_grams"), F.col("b_grams"))).where(F.col("jaccard") >= p.alike).select("bucket", *ids, "jaccard")
+    return pairs.withColumn("jaccard", T.jaccard(F.col("a_grams"), F.col("b_grams"))).where(F.col("jaccard") >= p.alike).select("bucket", "figures", *ids, "jaccard")
 
 
 def drop_near(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
     """C4: each unit in turn meets the first kept one like it; the one with fewer tokens goes.
 
-    Only alike pairs reach the sequential step, grouped by bucket.
+    Only alike pairs reach the sequential step, grouped by bucket and figures, which both of a pair share.
     """
     def settle(pairs: pd.DataFrame) -> pd.DataFrame:
         gone: set[tuple[int, int]] = set()
@@ -194,7 +194,7 @@ def drop_near(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame
                     break
         return pd.DataFrame(sorted(gone), columns=list(ORDER))
 
-    gone = near_pairs(units, p).groupBy("bucket").applyInPandas(settle, "doc_id long, ordinal int")
+    gone = near_pairs(units, p).groupBy("bucket", "figures").applyInPandas(settle, "doc_id long, ordinal int")
     return units.join(gone, list(ORDER), "left_anti")
 
 

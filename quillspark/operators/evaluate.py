@@ -170,16 +170,17 @@ def first_documents(docs: DataFrame, n: int, name: str = "source", key: str = "d
 def naive_context(units: DataFrame, window: int) -> DataFrame:
     """The corpus in name order cut to a token window: context, tokens, coverage, dropped.
 
-    Only units that can lie in the window are joined; running lengths tell which.
+    A unit takes two characters at least, the blank line after it, so no unit beyond as many as that
+    can lie in the window: the running lengths are of a bounded number of rows, whatever the corpus.
     """
-    order = Window.orderBy("document_name", "doc_id", "ordinal")
-    # lengths per document first: the window over documents holds a few numbers for each
-    per_doc = units.groupBy("document_name", "doc_id").agg(F.sum(F.length("text") + 2).alias("chars"), F.sum(F.regexp_count("text", F.lit(r"(?U)\S+"))).alias("words"))
-    all_ = per_doc.agg((F.sum("chars") - 2).alias("chars"), F.sum("words").alias("words"))
+    order = ["document_name", "doc_id", "ordinal"]
+    all_ = units.agg((F.sum(F.length("text") + 2) - 2).alias("chars"), F.sum(F.regexp_count("text", F.lit(r"(?U)\S+"))).alias("words"))
     total = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("chars") / T.CHARS_PER_TOKEN, F.col("words") * T.TOKENS_PER_WORD)).cast("int")).alias("corpus_tokens")
-    spent = F.coalesce(F.sum("chars").over(Window.orderBy("document_name", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = per_doc.withColumn("before", spent).where(F.col("before") <= int(window * T.CHARS_PER_TOKEN * 2) + 2).select("doc_id", "document_name")
-    head = units.join(near, ["doc_id", "document_name"], "left_semi").withColumn("n", F.row_number().over(order)).agg(
+    most = int(window * T.CHARS_PER_TOKEN * 2) + 2
+    first = units.select(*order, (F.length("text") + 2).alias("chars")).orderBy(*order).limit(most // 2 + 1)
+    before = F.coalesce(F.sum("chars").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = first.withColumns({"before": before, "n": F.row_number().over(Window.orderBy(*order))}).where(F.col("before") <= most).select(*order, "n")
+    head = units.join(F.broadcast(near), order).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("head")
     )
     cut = F.when(F.col("corpus_tokens") <= window, F.col("head")).otherwise(T.truncate_to_tokens(F.col("head"), window))

@@ -87,6 +87,18 @@ def sql_sentences(text: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, chr(30)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
 
 
+def sql_truncate(limit: int) -> str:
+    """CTEs from docs_(doc_id, text) to truncated(doc_id, head). A sentence costs two tokens at
+    least, so no more than limit / 2 can be kept."""
+    head = f"left(text, greatest(1, floor(length(text) * ({limit} / greatest(1, n)::DOUBLE))::INT))"
+    return f"""
+    parted_ AS (SELECT doc_id, text, {sql_tokens('text')} AS n, list_slice({sql_sentences('text')}, 1, {limit}) AS s FROM docs_),
+    priced_ AS (SELECT *, list_transform(s, lambda x: {sql_tokens('x')} + 1) AS c FROM parted_),
+    fitted_ AS (SELECT *, len(list_filter(range(1, len(c) + 1), lambda i: list_sum(list_slice(c, 1, i)) <= {limit})) AS fit FROM priced_),
+    truncated AS (SELECT doc_id, CASE WHEN n <= {limit} THEN text WHEN fit > 0 THEN array_to_string(list_slice(s, 1, fit), ' ') ELSE regexp_replace({head}, ' [^ ]*$', '') END AS head FROM fitted_)
+    """
+
+
 def sql_jaccard(a: str, b: str) -> str:
     return (
         f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 "
@@ -178,7 +190,7 @@ def text_token_count(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
-@query("text_truncate")
+@query("text_truncate", f"WITH docs_ AS (SELECT doc_id, text FROM documents), {sql_truncate(60)} SELECT doc_id, head FROM truncated")
 def text_truncate(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.truncate_to_tokens(F.col("text"), 60).alias("head"))
 
@@ -300,19 +312,6 @@ def corpus_snapshot(spark, sf_dir):
     return corpus.snapshot(u).select("documents", F.col("units").cast("long"), F.col("tokens").cast("long"), "corpus_checksum")
 
 
-def sectioned(spark, sf_dir) -> DataFrame:
-    """Documents with headings, fences and tables mixed in by line number, for segmentation."""
-    lines = F.transform(
-        F.split("text", "\n"),
-        lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("## "), F.substring(x, 1, 30)))
-        .when(i % 11 == 5, F.concat(F.lit("| "), F.substring(x, 1, 40), F.lit(" |")))
-        .when(i % 13 == 8, F.concat(F.lit("- "), x))
-        .when(i % 17 == 9, F.lit(""))
-        .otherwise(x),
-    )
-    return documents(spark, sf_dir).withColumn("text", F.array_join(lines, "\n"))
-
-
 def headed(spark, sf_dir) -> DataFrame:
     """Whole documents with headings, tables and blank lines added by line number; no line is cut."""
     lines = F.transform(
@@ -327,8 +326,9 @@ def headed(spark, sf_dir) -> DataFrame:
 
 
 _LINES = r"""
-    lined AS (SELECT doc_id, i - 1 AS n, CASE WHEN (i - 1) % 7 = 3 THEN '## ' || left(l, 30) WHEN (i - 1) % 11 = 5 THEN '| ' || left(l, 40) || ' |' WHEN (i - 1) % 13 = 8 THEN '- ' || l WHEN (i - 1) % 17 = 9 THEN '' ELSE l END AS line
-              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    added AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1) % 7 = 3 THEN ['## ' || left(l, 30), l] WHEN (i - 1) % 11 = 5 THEN ['| ' || left(l, 40) || ' |', l]
+              WHEN (i - 1) % 13 = 8 THEN ['- ' || l] WHEN (i - 1) % 17 = 9 THEN ['', l] ELSE [l] END)) AS ls FROM documents),
+    lined AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM added),
     parted AS (SELECT *, trim(line) AS body, coalesce(lead(line) OVER w, '') AS following,
                coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
                lead(n) OVER w IS NULL AS last FROM lined WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
@@ -353,7 +353,7 @@ _LINES = r"""
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS block, kind, sha256(text) AS text_sha, char_start, char_end FROM b WHERE text <> ''""",
 )
 def segment_blocks(spark, sf_dir):
-    b = segment.blocks(sectioned(spark, sf_dir))
+    b = segment.blocks(headed(spark, sf_dir))
     return b.select("doc_id", F.col("block").cast("long").alias("block"), "kind", T.sha(F.col("text")).alias("text_sha"), "char_start", "char_end")
 
 
@@ -551,16 +551,20 @@ def retrieval_precision(spark, sf_dir):
 # -- P, V: prompts and validation --------------------------------------------------------
 
 
-def paired(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Each benchmark item with two documents as evidence, and an answer made from the first."""
+def retrieved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each benchmark item with the two documents that BM25 ranks first among all, as evidence."""
     q, d = questions(spark, sf_dir), documents(spark, sf_dir)
-    ids = F.array(F.struct(F.lit(1).alias("pick"), (F.col("question_id") * 3).alias("doc_id")), F.struct(F.lit(2).alias("pick"), (F.col("question_id") * 3 + 1).alias("doc_id")))
-    rows = q.select("question_id", F.explode(ids).alias("x")).select("question_id", "x.*").join(d, "doc_id")
+    best = _topk(retrieval.bm25(document_units(spark, sf_dir), q), 2)
+    rows = ask_plan.keep(best.select("question_id", F.col("rank").cast("int").alias("pick"), F.col("unit_id").cast("long").alias("doc_id"))).join(d, "doc_id")
     evidence = rows.select("question_id", "pick", F.concat(F.lit("S"), "pick").alias("label"), "doc_id", F.col("source").alias("document_name"), F.array().cast("array<string>").alias("section_path"), "text", T.token_count(F.col("text")).alias("token_estimate"))
     return q, evidence
 
 
-EVIDENCE = "evidence AS (SELECT item_id AS question_id, pick, 'S' || pick AS label, source, d.text FROM benchmark b CROSS JOIN (VALUES (1), (2)) p(pick) JOIN documents d ON d.doc_id = item_id * 3 + pick - 1)"
+EVIDENCE = f"""
+    {BM25},
+    top_two AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY round(lexical, 6) DESC, unit_id) AS pick FROM lexical),
+    evidence AS MATERIALIZED (SELECT question_id, pick, 'S' || pick AS label, source, d.text FROM top_two JOIN documents d USING (doc_id) WHERE pick <= 2)
+"""
 REFUSED = f"CASE WHEN {sql_any("(' ' || lower(question) || ' ')", W.FRENCH_QUESTION)} THEN '{prompt.REFUSAL_FR}' ELSE '{prompt.REFUSAL}' END"
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -575,7 +579,7 @@ BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
         SELECT question_id, sha256(prompt) AS prompt_sha, {sql_tokens('prompt')} AS prompt_tokens, round({sql_tokens('excerpts')}::DOUBLE / ({sql_tokens('prompt')}), 4)::DOUBLE AS efficiency, ({sql_tokens('prompt')}) > 3584 AS overflows FROM p""",
 )
 def prompt_render(spark, sf_dir):
-    q, e = paired(spark, sf_dir)
+    q, e = retrieved(spark, sf_dir)
     p = prompt.build_prompt(prompt.render_evidence(e, q))
     return p.select("question_id", T.sha(F.col("prompt")).alias("prompt_sha"), "prompt_tokens", "efficiency", "overflows")
 
@@ -589,7 +593,7 @@ FIRST_THREE = f"array_to_string(list_slice(list_filter(list_transform(string_spl
         FROM benchmark b LEFT JOIN (SELECT * FROM evidence WHERE pick = 1) e ON e.question_id = item_id""",
 )
 def simulated_answer(spark, sf_dir):
-    q, e = paired(spark, sf_dir)
+    q, e = retrieved(spark, sf_dir)
     p = prompt.build_prompt(prompt.render_evidence(e, q))
     return prompt.extractive_answer(p, e).select("question_id", "answer")
 
@@ -602,23 +606,25 @@ def unlabelled_answer(spark, sf_dir):
 
 
 def mixed_answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Answers that quote their evidence, with foreign sentences and wrong labels mixed in."""
-    q, e = paired(spark, sf_dir)
-    first = e.where("pick = 1").select("question_id", F.substring("text", 1, 300).alias("quoted"))
+    """Answers that quote their best document whole, with foreign sentences and wrong labels mixed in."""
+    q, e = retrieved(spark, sf_dir)
+    first = e.where("pick = 1").select("question_id", F.col("text").alias("quoted"))
     rest = F.when(F.col("question_id") % 3 == 0, F.concat(F.lit(" "), "question", F.lit(" [S7]."))).when(F.col("question_id") % 3 == 1, " [S1]").otherwise(" It seems so. Les documents fournis ne permettent pas de conclure.")
     return q.join(first, "question_id", "left").select("question_id", "question", F.concat(F.coalesce("quoted", F.lit("")), rest).alias("answer")), e
 
 
 GROUND = f"""
     {EVIDENCE},
-    answers AS (SELECT item_id AS question_id, b.text AS question, coalesce(left(e.text, 300), '') || CASE item_id % 3 WHEN 0 THEN ' ' || b.text || ' [S7].' WHEN 1 THEN ' [S1]' ELSE ' It seems so. Les documents fournis ne permettent pas de conclure.' END AS answer
+    answers AS (SELECT item_id AS question_id, b.text AS question, coalesce(e.text, '') || CASE item_id % 3 WHEN 0 THEN ' ' || b.text || ' [S7].' WHEN 1 THEN ' [S1]' ELSE ' It seems so. Les documents fournis ne permettent pas de conclure.' END AS answer
                 FROM benchmark b LEFT JOIN (SELECT * FROM evidence WHERE pick = 1) e ON e.question_id = item_id),
     split_ AS (SELECT question_id, {sql_sentences("regexp_replace(trim(answer, " + BLANKS + "), '\\[(S[0-9]+)\\]', '', 'g')")} AS s FROM answers),
     each_ AS (SELECT question_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS n FROM split_),
-    judged AS (SELECT *, {sql_content('sentence')} AS w FROM each_),
-    grams AS (SELECT question_id, n, sentence, {sql_grams('w', 3)} AS g FROM judged WHERE len(w) >= 3 AND question_id IN (SELECT question_id FROM evidence)),
-    held AS (SELECT question_id, pick, label, {sql_grams(sql_content('text'), 3)} AS g FROM evidence),
-    shared AS (SELECT a.question_id, n, pick, label, len(list_intersect(a.g, h.g))::DOUBLE / len(a.g) AS o FROM grams a JOIN held h USING (question_id)),
+    judged AS MATERIALIZED (SELECT *, {sql_content('sentence')} AS w FROM each_),
+    grams AS MATERIALIZED (SELECT question_id, n, sentence, {sql_grams('w', 3)} AS g FROM judged WHERE len(w) >= 3 AND question_id IN (SELECT question_id FROM evidence)),
+    held_ AS MATERIALIZED (SELECT question_id, pick, label, {sql_content('text')} AS w FROM evidence),
+    held AS MATERIALIZED (SELECT question_id, pick, label, {sql_grams('w', 3)} AS g FROM held_),
+    both_ AS (SELECT question_id, n, pick, count(*) AS k FROM (SELECT question_id, n, unnest(g) AS x FROM grams) JOIN (SELECT question_id, pick, unnest(g) AS x FROM held) USING (question_id, x) GROUP BY ALL),
+    shared AS (SELECT a.question_id, a.n, h.pick, label, coalesce(k, 0)::DOUBLE / len(a.g) AS o FROM grams a JOIN held h USING (question_id) LEFT JOIN both_ b ON b.question_id = a.question_id AND b.n = a.n AND b.pick = h.pick),
     best AS (SELECT question_id, n, max(o) AS o, arg_max(label, o - pick * 1e-9) AS label FROM shared GROUP BY 1, 2),
     verdicts AS (SELECT g.question_id, g.n, g.sentence, CASE WHEN o > 0 THEN label ELSE '' END AS label, o FROM grams g JOIN best USING (question_id, n))
 """
@@ -780,7 +786,11 @@ def score_candidates(spark, sf_dir):
     return evaluate.rank_candidates(candidates(spark, sf_dir)).select("model", "disqualified", "accuracy_part", "throughput_part", "efficiency_part", "thermal_penalty", "total")
 
 
-@query("hardware_dependence")
+@query(
+    "hardware_dependence",
+    f"""WITH {SCORED}, f AS (SELECT model, CASE WHEN disqualified THEN 0 ELSE round(greatest(0.0::DOUBLE, a + t + e - p), 4) END::DOUBLE AS now, CASE WHEN disqualified THEN 0 ELSE round(greatest(0.0::DOUBLE, a + 0.3 + e - p), 4) END::DOUBLE AS fast FROM s),
+        m AS (SELECT arg_max(model, {{'total': now, 'model': model}}) AS measured, arg_max(model, {{'total': fast, 'model': model}}) AS saturated FROM f) SELECT measured, saturated, measured <> saturated AS depends_on_hardware FROM m""",
+)
 def hardware_dependence(spark, sf_dir):
     return evaluate.hardware_dependence(candidates(spark, sf_dir))
 
@@ -791,7 +801,11 @@ def scenario_verdicts(spark, sf_dir):
     return evaluate.scenario_verdicts(e.select(F.col("event_type").alias("scenario"), (F.col("value") >= 1).alias("ok"), F.when(F.col("user_id") % 2 == 0, "insufficient").otherwise("high").alias("confidence"), F.lit(False).alias("expect_insufficient")))
 
 
-@query("campaign_runs")
+@query(
+    "campaign_runs",
+    """WITH r AS (SELECT 'S' || item_id AS scenario, item_id % 5 = 0 AS cold, unnest(range(0, CASE WHEN item_id % 5 = 0 THEN 1 ELSE 6 END)) AS iteration FROM benchmark)
+       SELECT scenario, 0 AS q, iteration::INTEGER AS iteration, iteration < 1 AND NOT cold AS warm_up FROM r""",
+)
 def campaign_runs(spark, sf_dir):
     s = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("S"), "item_id").alias("id"), (F.col("item_id") % 5 == 0).alias("cold_start"), F.lit(1).alias("repeat_question"), F.array("text").alias("questions"))
     return evaluate.campaign_runs(s).drop("question")

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder that driver and executors share.
 
     A stage that several others read would otherwise be planned, and its expressions canonicalised,
-    once for each reader. The folder is spark.checkpoint.dir, or one of our own where it is unset.
+    once for each reader. The folder is spark.checkpoint.dir; a local session without one gets its
+    own, which on a cluster would be another folder on each machine.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        sc.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
+    return sc.getCheckpointDir()
