@@ -526,14 +526,16 @@ def structural_boost(spark, sf_dir):
         SELECT question_id, unit_id, rank, round(total, 6) AS total FROM f WHERE rank <= 40 AND total >= greatest(0.02, 0.15 * best)""",
 )
 def score_floor(spark, sf_dir):
-    r = retrieval.ranked(document_units(spark, sf_dir), questions(spark, sf_dir), gate=False)
+    u = document_units(spark, sf_dir)
+    r = retrieval.ranked(u, questions(spark, sf_dir), gate=False, post=ask_plan.keep(retrieval.postings(u)))
     return r.select("question_id", "unit_id", F.col("rank").cast("long").alias("rank"), F.round("total", 6).alias("total"))
 
 
 def _evidence(spark, sf_dir):
     q = questions(spark, sf_dir)
     asked = context.budget(context.classify_intent(ask_plan.observe(q)))
-    pool = retrieval.ranked(document_units(spark, sf_dir), q, gate=False)
+    u = document_units(spark, sf_dir)
+    pool = retrieval.ranked(u, q, gate=False, post=ask_plan.keep(retrieval.postings(u)))
     return q, asked, ask_plan.keep(retrieval.select_diverse(pool, asked))
 
 
