@@ -5,7 +5,9 @@ the least hashed `SEED`-byte token of some span-byte window. A window's anchor d
 window's bytes alone, so equal windows have equal anchors and nothing is lost by the sampling.
 
 1. Each task reads whole texts, finds the anchors and their windows, and keeps the first of those
-   whose whole surroundings are equal (later ones are repeats at once).
+   whose whole surroundings are equal (later ones are repeats at once). Surroundings are the bytes
+   of all windows of an anchor and its place in them; they are held to be equal where their 128-bit
+   BLAKE2b digests are, which no two differing ones are known to be.
 2. Splitters sampled from the leading tokens range-partition the suffixes. Each bucket sorts its
    suffixes and finds, across all tasks' runs, repeats with equal surroundings, and suffixes that
    share their token but not their surroundings, where a match begins or ends.
@@ -18,7 +20,9 @@ window's bytes alone, so equal windows have equal anchors and nothing is lost by
 
 Defined results. A null text counts as empty. Texts shorter than a span lose nothing. Positions of
 rows that share a doc_id are ordered by the row's place in its task and by task; a null doc_id is
-ordered before any other. An empty table gives an empty table.
+ordered before any other. An empty table gives an empty table. A text is read whole; one longer
+than LIMIT is hashed in stretches that share no window. Columns other than the id and the text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +47,8 @@ FLUSH = 1 << 21  # anchors that a task gathers before it combines and ships them
 HOT = 4096  # suffixes of one token from which its windows are dealt out one by one
 NULL_ID = -(1 << 63)
 
-ANCHOR = np.dtype([("token", "<u8"), ("around", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i8"), ("back", "u1"), ("more", "u1")])
+# around, about: a BLAKE2b digest of the bytes of all windows; sides: bit 0 where left holds, 1 where right does
+ANCHOR = np.dtype([("token", "<u8"), ("around", "<u8"), ("about", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i8"), ("back", "u1"), ("more", "u1"), ("sides", "u1")])
 OUT = "kind int, bucket int, doc_id long, row long, data binary"
 
 
@@ -70,7 +75,7 @@ def hash_grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def anchors(x: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """For the joined texts x, which end at `ends`: per anchor its document's place in `ends`, its
     position, the first and last window start, and the hashes that ANCHOR holds."""
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U, U, U, U))
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U, U, U, np.uint8))
     if len(x) < span:
         return none
     grams, wide = hash_grams(x)
@@ -88,16 +93,19 @@ def anchors(x: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, ...
     own = (least[at] & U(0xFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], (np.diff(own) != 0) | (np.diff(doc) != 0))))
     low, high, p, d = at[first], at[np.append(first[1:], len(at)) - 1], own[first], doc[first]
-    middle = np.minimum(low + span // 2, high + span - 64)
-    last = high + span - 64
-    around = _pair(_pair(_pair(wide[low], wide[middle]), wide[last]), ((p - low) * 256 + (high - low)).astype(U))
     # a window holds the token and either `half` bytes before it or `half` bytes after it
     half, top = (span - TOKEN) // 2, len(wide) - 1
     before = _pair(wide[np.clip(p - half, 0, top)], wide[np.clip(p + TOKEN - 64, 0, top)])
     after = _pair(wide[np.clip(p, 0, top)], wide[np.clip(p + TOKEN + half - 64, 0, top)])
-    before[p - low < half] = 0
-    after[p - high > span - TOKEN - half] = 0
-    return d, p - starts[d], low - starts[d], high - starts[d], grams[p], around, before, after
+    sides = (p - low >= half).astype(np.uint8) | (p - high <= span - TOKEN - half).astype(np.uint8) << 1
+    return d, p - starts[d], low - starts[d], high - starts[d], grams[p], before, after, sides
+
+
+def digests(x: np.ndarray, starts: np.ndarray, stops: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """128-bit digests of x[start:stop] and the place of the anchor in it, two numbers a row."""
+    data, digest = x.tobytes(), hashlib.blake2b
+    found = [digest(data[a:b], digest_size=16, salt=k.to_bytes(2, "little")).digest() for a, b, k in zip(starts.tolist(), stops.tolist(), back.tolist())]
+    return np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -120,10 +128,12 @@ def _anchor_rows(x: np.ndarray, ends: np.ndarray, docs: np.ndarray, rows: np.nda
         parts = ((a, x[a : a + LIMIT + span - 1]) for a in range(0, len(x) - span + 1, LIMIT))
         stretches = [(a, part, np.array([len(part)])) for a, part in parts]
     for base, part, stops in stretches:
-        d, p, low, high, token, around, before, after = anchors(part, stops, span)
+        d, p, low, high, token, before, after, sides = anchors(part, stops, span)
         out = np.empty(len(d), ANCHOR)
-        out["token"], out["around"], out["doc"], out["row"], out["pos"] = token, around, docs[d], rows[d], low + base
-        out["left"], out["right"] = before >> U(32), after >> U(32)
+        own = np.concatenate(([0], stops[:-1]))[d]
+        whole = digests(part, own + low, own + high + span, p - low)
+        out["token"], out["around"], out["about"], out["doc"], out["row"], out["pos"] = token, whole[:, 0], whole[:, 1], docs[d], rows[d], low + base
+        out["left"], out["right"], out["sides"] = before >> U(32), after >> U(32), sides
         out["back"], out["more"] = p - low, high - low
         yield out
 
@@ -183,8 +193,8 @@ def _scan(splitters: np.ndarray, span: int):
 
     def ship(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         a = np.concatenate(parts)
-        a = a[np.lexsort((a["pos"], a["row"], a["doc"], a["around"], a["token"]))]
-        first = _runs(a["token"], a["around"]) if len(a) else np.empty(0, bool)
+        a = a[np.lexsort((a["pos"], a["row"], a["doc"], a["about"], a["around"], a["token"]))]
+        first = _runs(a["token"], a["around"], a["about"]) if len(a) else np.empty(0, bool)
         again = a[~first]
         yield _emit_ranges(again["doc"], again["row"], again["pos"], again["pos"] + again["more"] + span, len(splitters) + 1)
         a = a[first]
@@ -240,8 +250,8 @@ def _resolve(span: int):
             while known:
                 yield known.pop()
             a = np.concatenate([np.frombuffer(x, ANCHOR) for x in parts])
-            a = a[np.lexsort((a["pos"], a["row"], a["doc"], a["around"], a["token"]))]
-            first = _runs(a["token"], a["around"])
+            a = a[np.lexsort((a["pos"], a["row"], a["doc"], a["about"], a["around"], a["token"]))]
+            first = _runs(a["token"], a["around"], a["about"])
             again = a[~first]
             yield _emit_ranges(again["doc"], again["row"], again["pos"], again["pos"] + again["more"] + span)
             a = a[first]
@@ -249,10 +259,11 @@ def _resolve(span: int):
             size = np.bincount(group)[group] if len(a) else group
             a, group, size = a[size > 1], group[size > 1], size[size > 1]
             keep = np.zeros(len(a), bool)
-            for side in ("left", "right"):
-                key = group.astype(U) << U(32) | a[side].astype(U)
+            for bit, side in enumerate(("left", "right")):
+                has = np.flatnonzero(a["sides"] >> bit & 1)
+                key = group[has].astype(U) << U(32) | a[side][has].astype(U)
                 _, where, times = np.unique(key, return_inverse=True, return_counts=True)
-                keep |= (times[where] > 1) & (a[side] != 0)
+                keep[has] |= times[where] > 1
             a, size = a[keep], size[keep]
             order = np.lexsort((a["pos"], a["row"], a["doc"]))
             a, size = a[order], size[order]
