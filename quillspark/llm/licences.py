@@ -12,7 +12,8 @@ as multisets.
 Defined results. A null or empty text has no match. The best run per document row and licence is
 reported (of lines before words; the highest coefficient, then the shortest, then the first); rows without a match have
 no row. Repeated rows repeat their matches. Rows with a null doc_id are scanned and keep the null.
-An empty table gives an empty table.
+An empty table gives an empty table. A text is scanned whole, however long. Columns other than the
+id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -30,7 +32,12 @@ from pyspark.sql import functions as F
 from .common import ready
 
 WORD = re.compile(r"[a-z0-9]+")
-# Notices and short licence texts, by name: fixed values.
+# Warranty paragraphs that end several licences: fixed values.
+MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+GPL_WARRANTY = 'This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.'
+# Notices and licence texts, by name: fixed values. `with_whole_texts` adds the texts in full.
 TEMPLATES = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -61,6 +68,34 @@ TEMPLATES = {
     ),
 }
 
+# A third condition, and licences that are short enough to hold in full: fixed values.
+BSD_3 = '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'
+ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+UNLICENSE = 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org/'
+
+
+def with_whole_texts(notices: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """The notices, and in full the licences that several of the parts above make up."""
+    grant = {name: notices[name][-1] for name in ("mit", "isc", "bsd-2-clause", "gpl-3.0")}
+    whole = {
+        "mit": (f"{grant['mit']} {MIT_WARRANTY}",),
+        "isc": (f"{grant['isc']} {ISC_WARRANTY}",),
+        "bsd-2-clause": (f"{grant['bsd-2-clause']} {BSD_WARRANTY}",),
+        "bsd-3-clause": (f"{grant['bsd-2-clause']} {BSD_3} {BSD_WARRANTY}",),
+        "gpl-3.0": (f"{grant['gpl-3.0']} {GPL_WARRANTY}",),
+        "zlib": (ZLIB,),
+        "unlicense": (UNLICENSE,),
+    }
+    return {name: notices.get(name, ()) + whole.get(name, ()) for name in {**notices, **whole}}
+
+
+TEMPLATES = with_whole_texts(TEMPLATES)
+
+
+def templates_in(folder: str) -> dict[str, tuple[str, ...]]:
+    """Licence texts from a folder of text files, each named for its licence: for those too long to bundle."""
+    return {p.stem.lower(): (p.read_text(errors="replace"),) for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -108,23 +143,28 @@ class Scanner:
         if not present:
             return []
         lines = [WORD.findall(x) for x in lowered.split("\n")]
+        full = [k for k, x in enumerate(lines) if x]
         for name, form, low, high, needed in self.forms:
             if not needed & present:
                 continue
-            first_words = {w for b in form for w in b}
-            overlap = [sum(w in first_words for w in x) for x in lines]
-            for i, x in enumerate(lines):
-                if not overlap[i]:
+            total, own = sum(form.values()), {w for b in form for w in b}
+            touching = [any(w in own for w in lines[k]) for k in full]
+            for at, i in enumerate(full):
+                if not touching[at]:
                     continue  # a best run does not begin with a line that shares no word
-                run: list[str] = []
-                for j in range(i, len(lines)):
-                    run = run + lines[j]
-                    size = len(run) - 1
+                seen: Counter = Counter()
+                shared, size, last = 0, -1, None
+                for place in range(at, len(full)):
+                    for w in lines[full[place]]:
+                        if last is not None:
+                            seen[last, w] += 1
+                            shared += seen[last, w] <= form[last, w]
+                        last, size = w, size + 1
                     if size > high:
                         break
-                    if size < low or not overlap[j]:
+                    if size < low or not touching[place]:
                         continue
-                    value = dice(bigrams(run), form)
+                    value, j = 2 * shared / (size + total), full[place]
                     key = (-value, size, i, j)
                     if value >= self.least and (name not in best or key < best[name]):
                         best[name] = key
