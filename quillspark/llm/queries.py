@@ -102,7 +102,7 @@ URL_RULES = [
 ]
 
 
-def _reputation_sql(limit: float, z: float = 1.645) -> str:
+def _reputation_sql(times: float, z: float = 1.645) -> str:
     def shrunk(level: str, keys: str, above: str, p0: str) -> str:
         """A level's posteriors: the prior's strength by moments over its groups, centred on p0."""
         return f"""
@@ -125,22 +125,22 @@ def _reputation_sql(limit: float, z: float = 1.645) -> str:
     {shrunk("s", "suffix", "CROSS JOIN corpus", "corpus.a / (corpus.a + corpus.b)")},
     {shrunk("d", "suffix, domain", "JOIN s_p USING (suffix)", "s_p.a / (s_p.a + s_p.b)")},
     {shrunk("h", "suffix, domain, host", "JOIN d_p USING (suffix, domain)", "d_p.a / (d_p.a + d_p.b)")},
-    j AS (SELECT p.page_id, p.host, path, CASE {rule} END AS r, coalesce(h.a, d.a, s.a, c.a) AS a, coalesce(h.b, d.b, s.b, c.b) AS b
+    j AS (SELECT p.page_id, p.host, path, CASE {rule} END AS r, coalesce(h.a, d.a, s.a, c.a) AS a, coalesce(h.b, d.b, s.b, c.b) AS b, {times}::DOUBLE * c.a / (c.a + c.b) AS most
           FROM pages_ p LEFT JOIN h_p h USING (host) LEFT JOIN d_p d ON d.domain = p.domain LEFT JOIN s_p s ON s.suffix = p.suffix CROSS JOIN corpus c)
-    SELECT page_id, host, path, string_split(r, '=')[1] AS rule, coalesce(string_split(r, '=')[2], CASE WHEN a / (a + b) - {z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {limit} THEN 'block' ELSE 'allow' END) AS verdict FROM j
+    SELECT page_id, host, path, string_split(r, '=')[1] AS rule, coalesce(string_split(r, '=')[2], CASE WHEN a / (a + b) - {z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > most THEN 'block' ELSE 'allow' END) AS verdict FROM j
     """
 
 
-BAD_RATE = 0.25
+BAD_TIMES = 1.5  # times the corpus's rate of bad pages that a host's lower bound must exceed
 
 
-@query("op3_url_filters", _reputation_sql(BAD_RATE))
+@query("op3_url_filters", _reputation_sql(BAD_TIMES))
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels that carry a page's number are its outcome: low quality is a bad page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     outcomes = pages.join(labels, "page_id").select("url", "bad")
-    return reputation.judge(pages, outcomes, URL_RULES, limit=BAD_RATE).select("page_id", "host", "path", "rule", "verdict")
+    return reputation.judge(pages, outcomes, URL_RULES, times=BAD_TIMES).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op7_document_fingerprints")

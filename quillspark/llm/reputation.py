@@ -4,7 +4,8 @@ Labelled page outcomes are counted per host, registered domain and suffix. At ea
 beta-binomial prior is fitted by moments over the groups below it, and each group's rate is shrunk
 towards its parent's: the suffix's prior is the corpus rate, the registered domain's prior centre
 is its suffix's posterior mean, the host's is its registered domain's. A page is blocked where the
-lower posterior bound (mean less z standard deviations) of its host's bad rate is above a limit:
+lower posterior bound (mean less z standard deviations) of its host's bad rate is above a limit,
+which is a multiple of the corpus's rate unless it is given:
 hosts that are known well enough to be bad, not hosts of which little is known. A host without
 labels takes its registered domain's posterior, and so on up.
 
@@ -14,7 +15,8 @@ combined before the shuffle, so a host with a third of all pages is one row per
 Defined results. A url that is null or has no "://" has an empty host and path, no rule, and takes
 the corpus's posterior. Repeated rows are judged each. A host of one label is its own registered
 domain and suffix. Without labels nothing is blocked by reputation. An empty table gives an empty
-table.
+table. Columns named host, path, rule, verdict, bad_rate or bad_bound, in any case, are replaced;
+all others are returned untouched. Urls are read whole, however long.
 """
 
 from __future__ import annotations
@@ -102,10 +104,10 @@ def posteriors(outcomes: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float, z: float = 1.645, url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float | None = None, z: float = 1.645, url_col: str = "url", times: float = 1.5) -> DataFrame:
     """pages with host, path, rule, verdict, bad_rate and bad_bound.
 
-    outcomes: url and bad (0/1) of labelled pages.
+    outcomes: url and bad (0/1) of labelled pages. limit: `times` the corpus's rate where None.
     """
     known = posteriors(outcomes.where("bad IS NOT NULL").select(host_of(F.col("url")).alias("host"), "bad"))
     clash = {"host", "path", "rule", "verdict", "bad_rate", "bad_bound"}
@@ -113,6 +115,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float
     url = F.col(url_col)
     rows = kept.withColumns({"host": host_of(url), "path": path_of(url)})
     row = known["all"].first()
+    limit = times * row["a"] / (row["a"] + row["b"]) if limit is None else limit
     # one row for each host that occurs, so the page rows meet hosts once
     hosts = rows.select("host").distinct().select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
     for level in LEVELS:
