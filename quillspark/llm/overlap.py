@@ -156,9 +156,16 @@ def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def _edges(node: np.ndarray, label: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """(u, v) for each place whose label is no longer the one that it started with."""
-    moved = label != start
-    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["u", "v"])
+    """(u, v) from one row of each component that a label joins to others, to the label's smallest node.
+
+    Cells that hold the same sets so give the same links, whatever order their rows came in.
+    """
+    smallest = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, label, node)
+    one = np.flatnonzero(start == np.arange(len(node)))
+    joined = np.bincount(label[one], minlength=len(node))[label[one]] > 1
+    u, v = node[one[joined]], smallest[label[one[joined]]]
+    return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
 
 def _starts(component: np.ndarray) -> np.ndarray:
@@ -278,7 +285,7 @@ def _candidate_groups(nodes: DataFrame, least: float) -> DataFrame:
     dealt = _dealt(nodes.withColumn("component", F.col("node")))
     hot = store(dealt.groupBy("band", "value").agg(F.count("*").alias("size")).where(F.col("size") > CELL), "hot-cells")
     part = F.coalesce(F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / F.lit(CELL))), F.lit(0))
-    links = store(_tiled(dealt.join(sized(hot), ["band", "value"], "left").withColumn("part", part), least), "candidate-links")
+    links = store(_tiled(dealt.join(sized(hot), ["band", "value"], "left").withColumn("part", part), least).distinct(), "candidate-links")
     found = components(links)
     if hot.isEmpty():
         return found

@@ -181,11 +181,15 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, epochs:
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::4]] = True
     texts = pa.array(texts, pa.large_string())
-    words = tokens(texts)
-    coded = words.flatten().dictionary_encode()
-    code, ends = coded.indices.to_numpy(), words.offsets.to_numpy()
+    parts = [tokens(texts.slice(k, ROWS)) for k in range(0, len(texts), ROWS)]
+    ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts]))))
+    coded = pa.chunked_array([p.flatten() for p in parts], pa.large_string()).dictionary_encode().unify_dictionaries()
+    del parts
+    code, vocabulary = np.concatenate([c.indices.to_numpy() for c in coded.chunks]), coded.chunk(0).dictionary
     docs = [code[a:b] for a, b in zip(ends, ends[1:])]
-    flat, sizes = subwords(coded.dictionary)
+    flat, sizes = subwords(vocabulary)
+    del coded, vocabulary
+    pa.default_memory_pool().release_unused()
     begin = np.cumsum(sizes) - sizes
     # n-grams that few documents share could only be learnt by heart
     shared = np.zeros(BUCKETS, np.int32)
