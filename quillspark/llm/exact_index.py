@@ -180,7 +180,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = build_index(docs, id_col, text_col, capacity)
     h, sha, keep, size, again = unused(docs, "h", "sha", "keep", "size", "again")
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumns({h: hash_of(norm), sha: F.sha2(norm, 256)})
+    keyed = gathered(docs).withColumns({h: hash_of(norm), sha: F.sha2(norm, 256)})
     met = _meet(keyed, index, [h, sha], {"group_size": size, "keep_id": keep})
     best = met.where(F.col(size).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
     # rows that repeat doc_id and text: several of them carry the id that stays

@@ -300,11 +300,12 @@ def _verified(members: DataFrame, texts: DataFrame, width: int, least: float) ->
     sizes = members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
     tiles = F.greatest(F.ceil(F.col("c") / F.lit(TEXTS)), F.ceil(F.col("m") / F.lit(MEMBERS))).cast("long")
     members = store(members.join(sizes.select("group", "c", tiles.alias("tiles")), "group"), "members")
-    texts = store(texts.join(sized(members.select("node")), "node", "left_semi"), "group-texts")
+    texts = store(gathered(texts).join(sized(members.select("node")), "node", "left_semi"), "group-texts")
     columns = ["group", "part", "node", "component", "text"]
 
     def compared(rows: DataFrame) -> DataFrame:
-        return store(_placed(rows.join(texts, "node"), ["group", "part"], columns, _checked(width, least)), "checked-links")
+        # distinct, so that the few links are written by few tasks
+        return store(_placed(rows.join(texts, "node"), ["group", "part"], columns, _checked(width, least)).distinct(), "checked-links")
 
     alone = members.withColumn("component", F.col("node"))
     links = compared(alone.withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles"))))
@@ -350,4 +351,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (gone,) = unused(docs, "gone")
     groups = near_groups(docs, id_col, text_col, width, least)
     lesser = store(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
-    return docs.join(sized(lesser), F.col(id_col) == F.col(gone), "left_anti")
+    return gathered(docs).join(sized(lesser), F.col(id_col) == F.col(gone), "left_anti")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, store
+from .common import gathered, ready, store
 
 STRIP = string.punctuation + "«»“”„‘’…–—¿¡"
 BUCKETS = 1 << 16
@@ -323,7 +323,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     schema = StructType(list(docs.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType())
-    return docs.mapInArrow(run, schema)
+    return gathered(docs).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
