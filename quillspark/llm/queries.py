@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_index, licences, mixing, packing, paragraph_sketch, reputation, simhash, suffix_dedup, toxicity
+from . import chat, exact_index, licences, manifest, mixing, packing, paragraph_sketch, reputation, simhash, suffix_dedup, toxicity
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -164,6 +164,51 @@ def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), least=0.8)
 
 
+# CRC-32 of a decimal number's characters, bit by bit; DuckDB has no function of that name
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [1000 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]))),
+    lambda a, x: CASE WHEN x > 0 THEN xor(a, x - 1000) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1)) END), 4294967295::UBIGINT)"""
+
+
+def _manifest_sql() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def tree(name: str, base: str) -> str:
+        """Levels of all trees, and each node's siblings to the left and the right."""
+        side = lambda a, b: f"coalesce(string_agg(node, '') OVER (PARTITION BY key, lvl, pos // 3 ORDER BY pos ROWS BETWEEN {a} AND {b}), '')"
+        return f"""
+        {name} AS (SELECT key, 0 AS lvl, pos, node, n FROM ({base}) UNION ALL
+                   SELECT key, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY key, lvl, pos // 3),
+        {name}_s AS (SELECT key, lvl, pos, n, {side("UNBOUNDED PRECEDING", "1 PRECEDING")} AS l, {side("1 FOLLOWING", "UNBOUNDED FOLLOWING")} AS r FROM {name})"""
+
+    def climb(name: str, base: str, tree: str) -> str:
+        return f"""
+        {name} AS ({base} UNION ALL SELECT c.id, c.key, c.lvl + 1, c.pos // 3, c.proof || l || r, sha256(l || c.node || r)
+                   FROM {name} c JOIN {tree}_s s ON s.key = c.key AND s.lvl = c.lvl AND s.pos = c.pos WHERE s.n > 1)"""
+
+    return f"""
+    WITH RECURSIVE d AS (SELECT *, {leaf("text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS changed,
+                                CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key FROM documents),
+    m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM d),
+    {tree("t", "SELECT key, pos, leaf AS node, n FROM m")},
+    subs AS (SELECT key AS source, node, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+    {tree("g", "SELECT 0 AS key, pos, node, n FROM subs")},
+    {climb("c", "SELECT doc_id AS id, key, 0 AS lvl, pos, '' AS proof, changed AS node FROM m", "t")},
+    top AS (SELECT id, key, proof, node FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1),
+    {climb("u", "SELECT id, 0 AS key, 0 AS lvl, subs.pos, proof, top.node FROM top JOIN subs ON subs.source = top.key", "g")},
+    done AS (SELECT id, proof, node FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1)
+    SELECT m.doc_id, leaf, subs.node AS subroot, r.node AS root, sha256(proof) AS proof_sha256, done.node AS folded_root, done.node = r.node AS verified
+    FROM m JOIN done ON id = doc_id JOIN subs ON subs.source = m.key CROSS JOIN (SELECT node FROM g WHERE n = 1) r
+    """
+
+
+@query("op11_merkle_manifest", _manifest_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an even CRC-32 are found with their line feeds gone."""
+    stripped = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered=stripped).drop("proof")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
