@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_index, licences, manifest, mixing, packing, paragraph_sketch, reputation, simhash, suffix_dedup, toxicity
+from . import chat, exact_index, licences, manifest, mixing, packing, paragraph_sketch, phrases, reputation, simhash, suffix_dedup, toxicity
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -209,6 +209,29 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), tampered=stripped).drop("proof")
 
 
+_PHRASES_SQL = """
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+    s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM s, range(1, 6) t(k) WHERE i + k - 1 <= len(ws)),
+    totals AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+    f AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+    cuts AS (SELECT c.lang, c.phrase, c.a, x.k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+             FROM f c JOIN range(1, 5) x(k) ON x.k < c.size JOIN totals USING (lang)
+             JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:x.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[x.k + 1:], ' ')),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT DISTINCT q.lang, array_to_string(q.ws[i.i:i.i + k.k - 1], ' ') AS phrase, q.a FROM f q, range(1, 5) i(i), range(2, 5) k(k) WHERE k.k < q.size AND i.i + k.k - 1 <= q.size),
+    kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept QUALIFY rank <= 2000
+    """
+
+
+@query("op12_phrase_collocations", _PHRASES_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, most=2000, covered=100)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
