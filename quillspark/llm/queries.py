@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_index, licences, manifest, mixing, packing, paragraph_sketch, phrases, reputation, simhash, suffix_dedup, toxicity
+from . import bottomk, chat, exact_index, licences, manifest, mixing, packing, paragraph_sketch, phrases, reputation, simhash, suffix_dedup, toxicity
 from .common import ready, table
 
 QUERIES, ORACLES = {}, {}
@@ -232,6 +232,23 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=100, most=2000, covered=100)
 
 
+_NEAR_SQL = """
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                              ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS grams FROM w),
+    g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 80 * (len(a.grams) + len(b.grams) - c)),
+    reach AS (SELECT doc_id AS id, doc_id AS other FROM s UNION SELECT id, y FROM reach JOIN links ON x = other)
+    SELECT doc_id, len(any_value(grams))::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM s JOIN reach ON id = doc_id GROUP BY doc_id
+    """
+
+
+@query("op13_minhash_near_dedup", _NEAR_SQL)
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_groups(table(spark, sf_dir, "documents"), width=4, least=0.8)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
