@@ -438,7 +438,22 @@ def near_dup_pairs(spark, sf_dir):
     return p.select(F.col("a_doc_id").alias("first_id"), F.col("b_doc_id").alias("second_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("near_dedup_units")
+# the rule unit by unit: a step's state is the list of those gone so far
+_SEQUENTIAL = f"""
+    WITH RECURSIVE {TERMS.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM (SELECT doc_id, " + sql_content("text") + " AS w FROM documents) GROUP BY array_to_string(w, ' '))")},
+    {PAIRS.replace(TERMS + ",", "")},
+    tokens AS (SELECT doc_id, {sql_tokens('text')} AS t FROM terms),
+    alike AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, x.t AS ta, y.t AS tb FROM g a JOIN g b ON a.bucket = b.bucket AND a.figures = b.figures AND a.doc_id < b.doc_id
+              JOIN tokens x ON x.doc_id = a.doc_id JOIN tokens y ON y.doc_id = b.doc_id WHERE {sql_jaccard('a.g', 'b.g')} >= 0.92),
+    turns AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) AS i, list({{'a': a, 'ta': ta, 'tb': tb}} ORDER BY a) AS before FROM alike GROUP BY b),
+    steps AS (SELECT 0 AS i, []::BIGINT[] AS gone UNION ALL
+              SELECT t.i, CASE WHEN m IS NULL THEN gone WHEN m.tb <= m.ta THEN list_append(gone, b) ELSE list_append(gone, m.a) END
+              FROM (SELECT t.i, b, gone, list_filter(before, lambda x: NOT list_contains(gone, x.a))[1] AS m FROM steps s JOIN turns t ON t.i = s.i + 1) t)
+    SELECT doc_id FROM terms WHERE NOT list_contains((SELECT gone FROM steps ORDER BY i DESC LIMIT 1), doc_id)
+"""
+
+
+@query("near_dedup_units", _SEQUENTIAL)
 def near_dedup_units(spark, sf_dir):
     return context.drop_near(context.drop_exact(document_units(spark, sf_dir))).select("doc_id")
 
