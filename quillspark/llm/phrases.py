@@ -7,7 +7,7 @@ of a sketch is a bit for each cell: whether its sum reaches the least count. A s
 the longer phrases all of whose pairs have passed the first. The last pass over the texts counts
 exactly, and only phrases whose every cell passed; so nothing frequent is lost, whatever collides,
 and what passed wrongly is dropped by its exact count. Tasks combine phrases before the shuffle,
-so a phrase that occurs in every document is one row from each part of a task.
+so a phrase that occurs in every document is about one row from each task.
 
 Sketches get wider with the texts, up to 2 ** MOST_BITS cells a row, the bound on what is broadcast
 (64 MB); in a corpus of more than about a hundred GB more rare phrases pass than before, and the
@@ -39,6 +39,7 @@ ROWS = 2  # of a sketch
 LEAST_BITS, MOST_BITS = 16, 28  # cells of a row, as powers of two
 PART = 1 << 16  # cells that are summed together
 CHUNK = 8 << 20  # bytes of text that a task looks at together
+HELD = 1 << 20  # counted phrases that a task combines before it passes them on
 SPLITTERS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 PIECE_END = re.compile(b"[" + SPLITTERS + b"]")
 KINDS = np.zeros(256, np.uint8)
@@ -215,24 +216,45 @@ def _merged(texts: DataFrame, bits: int, least: int, short=None) -> Passed:
     return Passed(packed, bits)
 
 
+COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("a", pa.int64())])
+
+
+def _chunk_counts(lang: str, words: Words, short: Passed, long: Passed) -> pa.Table:
+    """A chunk's phrases that passed, with their exact counts; size 0 counts all words."""
+    sizes, phrases, counts = [0], [b""], [len(words.id)]
+    code = np.zeros(len(words.id), np.int64)  # a phrase's number among those of its size, exact
+    for size, inside, _ in _survivors(words, short, long):
+        at = np.flatnonzero(inside)
+        longer, first, inverse, count = np.unique(code[at] * len(words.words) + words.id[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
+        code[at] = inverse
+        spelled = np.stack([words.id[at[first] + k] for k in range(size)], axis=1).tolist()
+        phrases += [b" ".join([words.words[w] for w in one]) for one in spelled]
+        sizes += [size] * len(longer)
+        counts += count.tolist()
+    return pa.table([pa.array([lang] * len(sizes), pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], COUNTS)
+
+
 def _counted(short, long):
-    """(lang, size, phrase, count) of what passed, combined over a chunk; size 0 counts all words."""
+    """(lang, size, phrase, a) of what passed, combined over the chunks of a task while they are few enough to hold."""
+
+    def combined(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(["lang", "size", "phrase"]).aggregate([("a", "sum")]).rename_columns(["lang", "size", "phrase", "a"])
+
+    def out(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        whole = combined(held)
+        yield from whole.set_column(2, "phrase", whole["phrase"].cast(pa.string())).to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for lang, data in _chunks(batches):
-            words = Words(lang, data)
-            sizes, phrases, counts = [0], [b""], [len(words.id)]
-            code = np.zeros(len(words.id), np.int64)  # a phrase's number among those of its size, exact
-            for size, inside, _ in _survivors(words, short.value, long.value):
-                at = np.flatnonzero(inside)
-                longer, first, inverse, count = np.unique(code[at] * len(words.words) + words.id[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
-                code[at] = inverse
-                spelled = np.stack([words.id[at[first] + k] for k in range(size)], axis=1).tolist()
-                phrases += [b" ".join([words.words[w] for w in one]) for one in spelled]
-                sizes += [size] * len(longer)
-                counts += count.tolist()
-            columns = [pa.array([lang] * len(sizes), pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "a"])
+            held.append(_chunk_counts(lang, Words(lang, data), short.value, long.value))
+            if sum(t.num_rows for t in held) > HELD:
+                held = [combined(held)]
+                if held[0].num_rows > HELD // 2:
+                    yield from out(held)
+                    held = []
+        if held:
+            yield from out(held)
 
     return run
 

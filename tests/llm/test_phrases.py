@@ -52,6 +52,7 @@ def rows():
 @pytest.mark.parametrize("least, most, covered, bits", [(10, 2000, 100, 4), (3, 25, 60, 16)])
 def test_collocations_match_plain_counts(spark, rows, monkeypatch, least, most, covered, bits):
     monkeypatch.setattr(phrases, "CHUNK", 2000)
+    monkeypatch.setattr(phrases, "HELD", 200 * least)
     monkeypatch.setattr(common, "LEAST_HOT", 5)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     docs = docs.withColumns({c: F.lit("clash") for c in ("size", "phrase", "a", "n", "key", "part", "f")})
