@@ -150,11 +150,15 @@ def jaccard(a: Column, b: Column) -> Column:
 CHARS_PER_TOKEN, TOKENS_PER_WORD = 3.6, 1.32
 
 
+def tokens_of(chars: Column, words: Column) -> Column:
+    """The count for a text of so many characters, one at least, and words."""
+    return F.greatest(F.lit(1), F.ceil(F.greatest(chars / F.lit(CHARS_PER_TOKEN), words * F.lit(TOKENS_PER_WORD))).cast("int"))
+
+
 def token_count(text: Column) -> Column:
     """Heuristic token count, the larger of a count by characters and one by words."""
-    by_words = F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+")) * F.lit(TOKENS_PER_WORD)
-    estimate = F.ceil(F.greatest(F.length(text) / F.lit(CHARS_PER_TOKEN), by_words)).cast("int")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), estimate))
+    words = F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(tokens_of(F.length(text), words))
 
 
 def truncate_to_tokens(text: Column, limit: Column | int) -> Column:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import pytext
 from ..functions import text as T
 from ..functions import words as W
+from ..functions.runs import cut
 from . import neardup
 
 # -- intent -----------------------------------------------------------------------------
@@ -157,28 +156,30 @@ def drop_near(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame
 
 
 def merge_fragments(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
-    """Small units that follow each other in one section of one document are joined."""
+    """Small units that follow each other in one section of one document are joined.
+
+    Units of one path in a row are folded by their lengths: a unit joins the one before where both,
+    as far as they have grown, hold fewer tokens than a fragment.
+    """
     fields = ["ordinal", "unit_id", "kind", "text", "section_path", "token_estimate", "char_start", "char_end", "heading_level", "document_name"]
-    schema = "array<struct<ordinal:int,unit_id:string,kind:string,text:string,section_path:array<string>,token_estimate:int,char_start:int,char_end:int,heading_level:int,document_name:string>>"
-
-    def joined(rows) -> list[dict]:
-        out: list[dict] = []
-        for r in map(dict, rows):
-            r["section_path"] = list(r["section_path"])
-            last = out[-1] if out else None
-            if last and max(r["token_estimate"], last["token_estimate"]) < p.fragment and r["section_path"] == last["section_path"]:
-                last["text"] += "\n" + r["text"]
-                last.update(token_estimate=pytext.token_count(last["text"]), char_end=r["char_end"])
-            else:
-                out.append(r)
-        return out
-
-    @F.pandas_udf(schema)
-    def merged(arrays: pd.Series) -> pd.Series:
-        return arrays.map(joined)
-
-    rows = F.sort_array(F.collect_list(F.struct(*fields)))
-    return units.groupBy("doc_id").agg(rows.alias("rows")).select("doc_id", F.explode(merged("rows")).alias("u")).select("doc_id", "u.*")
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    fresh = ~F.coalesce(F.lag("section_path").over(w) == F.col("section_path"), F.lit(False))
+    rows = units.withColumn("fresh", fresh.cast("int")).withColumn("stretch", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sizes = [F.length("text").alias("chars"), F.regexp_count("text", F.lit(r"(?U)[^\s\x1c-\x1f]+")).alias("words")]
+    rows = rows.groupBy("doc_id", "stretch").agg(F.sort_array(F.collect_list(F.struct(*fields, *sizes))).alias("rows"))
+    empty = F.struct(*[F.lit(0).alias(c) for c in ("chars", "words", "tokens")])
+
+    def grown(s: Column, x: Column, joined: Column) -> Column:
+        chars, words = s["chars"] + 1 + x["chars"], s["words"] + x["words"]
+        both = F.struct(chars.alias("chars"), words.alias("words"), T.tokens_of(chars, words).alias("tokens"))
+        return F.when(joined, both).otherwise(F.struct(x["chars"].alias("chars"), x["words"].alias("words"), x["token_estimate"].alias("tokens")))
+
+    runs = cut(F.col("rows"), empty, lambda s, x: F.greatest(s["tokens"], x["token_estimate"]) < p.fragment, grown)
+    out = rows.select("doc_id", F.explode(runs).alias("run"))
+    first, last = F.get("run", F.lit(0)), F.get("run", F.size("run") - 1)
+    text = F.array_join(F.transform("run", lambda x: x["text"]), "\n")
+    out = out.select("doc_id", *[(text if c == "text" else last[c] if c == "char_end" else first[c]).alias(c) for c in fields], (F.size("run") > 1).alias("joined"))
+    return out.withColumn("token_estimate", F.when(F.col("joined"), T.token_count(F.col("text"))).otherwise(F.col("token_estimate"))).drop("joined")
 
 
 def compression_ratio(tokens_in: Column, tokens_out: Column) -> Column:

@@ -7,6 +7,8 @@ are the assistants' turns, samples are the events.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,7 @@ def sql_jaccard(a: str, b: str) -> str:
     )
 
 
+BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 TERMS = f"terms AS MATERIALIZED (SELECT doc_id, source, text, {sql_content('text')} AS w FROM documents)"
 ASKED = f"asked AS MATERIALIZED (SELECT item_id AS question_id, text AS question, list_distinct({sql_content('text')}) AS terms FROM benchmark)"
 BM25 = f"""
@@ -258,7 +261,25 @@ def text_answer_marks(spark, sf_dir):
     )
 
 
-@query("text_clean_generation")
+def _cleaned_sql() -> str:
+    banners = "|".join(re.escape(b).replace("\\ ", " ").replace("/", "/") for b in cleaning.BANNERS)
+    blocks = "t2"
+    for opener, closer in cleaning.REASONING:
+        blocks = f"regexp_replace({blocks}, '(?ims){opener}(.*?({closer})|.*)', '', 'g')"
+    final = cleaning.FINAL.replace("(?:", "(")
+    return f"""
+    WITH raw AS (SELECT conv_id, turn, 'Loading model...' || chr(10) || chr(10) || '> ' || CASE WHEN turn % 3 = 1 THEN '<think>a thought</think>' || chr(10) ELSE '' END || text || chr(10) || 'Exiting...' AS t FROM conversations WHERE role = 'assistant'),
+    a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '(?is)^.*({banners})[^\\n]*\\n?', ''), '^([ \\t]*(/[^\\n]*)?\\n)+', ''), '^[ \\t]*>+[ \\t]*', '') AS t1 FROM raw),
+    c AS (SELECT *, trim(regexp_replace(t1, '{cleaning.NOISE}', '', 'g'), {BLANKS}) AS t2 FROM a),
+    d AS (SELECT *, trim({blocks}, {BLANKS}) AS t3 FROM c),
+    e AS (SELECT *, trim(regexp_extract(t3, '(?is)^.*{final}(.*)$', 4), {BLANKS}) AS tail FROM d),
+    f AS (SELECT *, CASE WHEN length(tail) >= 8 THEN tail ELSE t3 END AS answer FROM e)
+    SELECT conv_id, turn, answer, array_to_string(list_filter(['scaffolding', CASE WHEN t2 <> t3 THEN 'reasoning' END, CASE WHEN t2 <> t3 AND t3 = '' THEN 'only reasoning' END, CASE WHEN answer <> t3 THEN 'final answer' END,
+           CASE WHEN answer <> '' AND NOT regexp_matches(answer, '[.!?"'')\\]}}»’]$') THEN 'truncated' END], lambda x: x IS NOT NULL), ',') AS notes FROM f
+    """
+
+
+@query("text_clean_generation", _cleaned_sql())
 def text_clean_generation(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").where("role = 'assistant'")
     raw = F.concat(F.lit("Loading model...\n\n> "), F.when(F.col("turn") % 3 == 1, "<think>a thought</think>\n").otherwise(""), "text", F.lit("\nExiting..."))
@@ -357,12 +378,57 @@ def segment_blocks(spark, sf_dir):
     return b.select("doc_id", F.col("block").cast("long").alias("block"), "kind", T.sha(F.col("text")).alias("text_sha"), "char_start", "char_end")
 
 
-@query("segment_units")
+# packing block by block: a stack of headings, runs of blocks, pieces of long runs, small pieces folded
+_PACKED = f"""
+    {_LINES},
+    levels AS (SELECT *, CASE WHEN kind <> 'heading' THEN 0 WHEN starts_with(line, '#') THEN length(regexp_extract(line, '^(#{{1,6}})\\s', 1))
+               WHEN regexp_matches(body, '^((\\d+\\.){{1,4}}|\\d+\\))\\s+(\\S.{{0,110}})$') THEN least(6, 1 + len(regexp_extract_all(regexp_extract(body, '^\\S+'), '\\.'))) ELSE 2 END AS level FROM runs),
+    grouped AS (SELECT doc_id, g, any_value(kind) AS kind, min(start)::INTEGER AS char_start, max(level) AS level,
+              trim(string_agg(CASE WHEN kind = 'heading' AND starts_with(line, '#') THEN regexp_extract(line, '^#{{1,6}}\\s+(.*\\S)\\s*$', 1) WHEN kind = 'heading' THEN body ELSE line END, chr(10) ORDER BY n), ' ' || chr(10)) AS text,
+              arg_max(CASE WHEN kind = 'heading' OR last THEN start + length(line) ELSE next_start END, n)::INTEGER AS char_end
+              FROM levels WHERE kind <> 'blank' GROUP BY doc_id, g),
+    b AS MATERIALIZED (SELECT *, row_number() OVER w AS block, sum((kind = 'heading')::INT) OVER w AS section FROM grouped WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY g)),
+    stack AS (SELECT doc_id, section, [text] AS path FROM b WHERE kind = 'heading' AND section = 1 UNION ALL
+              SELECT b.doc_id, b.section, list_append(list_slice(path, 1, greatest(1, b.level) - 1), b.text) FROM stack s JOIN b ON b.doc_id = s.doc_id AND b.section = s.section + 1 AND b.kind = 'heading'),
+    bodies AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS i, length(text) AS c, len(regexp_extract_all(text, '[^\\s\\v]+')) AS w FROM b WHERE kind <> 'heading'),
+    gathered AS (SELECT doc_id, i, section, c::BIGINT AS chars, w::BIGINT AS words, 1 AS run FROM bodies WHERE i = 1 UNION ALL
+              SELECT doc_id, i, section, CASE WHEN j THEN chars + 2 + c ELSE c END, CASE WHEN j THEN words + w ELSE w END, run + (NOT j)::INT
+              FROM (SELECT x.*, chars, words, run, x.section = g.section AND ceil(greatest(chars / 3.6::DOUBLE, words * 1.32::DOUBLE)) < 90 AS j FROM gathered g JOIN bodies x ON x.doc_id = g.doc_id AND x.i = g.i + 1)),
+    whole AS MATERIALIZED (SELECT doc_id, run, any_value(section) AS section, min(block) AS block, arg_min(kind, block) AS kind, arg_min(char_start, block) AS char_start, arg_min(char_end, block) AS char_end,
+              trim(string_agg(text, chr(10) || chr(10) ORDER BY block), {BLANKS}) AS text FROM gathered JOIN bodies USING (doc_id, i, section) GROUP BY doc_id, run),
+    long AS MATERIALIZED (SELECT doc_id, run, {sql_sentences('text')} AS s FROM whole WHERE {sql_tokens('text')} > 320),
+    priced AS MATERIALIZED (SELECT doc_id, run, unnest(s) AS s, unnest(list_transform(s, lambda x: {sql_tokens('x')})) AS cost, generate_subscripts(s, 1) AS k FROM long),
+    halved AS (SELECT doc_id, run, k, cost::BIGINT AS used, 1 AS piece FROM priced WHERE k = 1 UNION ALL
+              SELECT p.doc_id, p.run, p.k, CASE WHEN used + cost > 180 THEN cost ELSE used + cost END, piece + (used + cost > 180)::INT FROM halved h JOIN priced p ON p.doc_id = h.doc_id AND p.run = h.run AND p.k = h.k + 1),
+    pieces AS (SELECT doc_id, run, piece, string_agg(s, ' ' ORDER BY k) AS text FROM halved JOIN priced USING (doc_id, run, k) GROUP BY 1, 2, 3 UNION ALL
+              SELECT doc_id, run, 1, text FROM whole WHERE NOT ({sql_tokens('text')} > 320)),
+    placed AS (SELECT p.*, w.kind, w.char_start, w.char_end, coalesce(path, []) AS path, lag(coalesce(path, [])) OVER (PARTITION BY p.doc_id ORDER BY p.run, piece) AS before
+              FROM pieces p JOIN whole w USING (doc_id, run) LEFT JOIN stack s ON s.doc_id = p.doc_id AND s.section = w.section),
+    folded AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND before = path AND {sql_tokens('text')} < 24 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY run, piece) - 1 AS ordinal FROM placed),
+    units_ AS MATERIALIZED (SELECT doc_id, ordinal::INTEGER AS ordinal, doc_id || '#' || CASE WHEN ordinal < 10000 THEN lpad(ordinal::INTEGER::VARCHAR, 4, '0') ELSE ordinal::INTEGER::VARCHAR END AS unit_id, arg_min(kind, run * 10000 + piece) AS kind,
+              arg_min(path, run * 10000 + piece) AS path, string_agg(text, chr(10) ORDER BY run, piece) AS text, arg_min(char_start, run * 10000 + piece) AS char_start, arg_max(char_end, run * 10000 + piece) AS char_end FROM folded GROUP BY doc_id, ordinal)
+"""
+
+
+@query(
+    "segment_units",
+    f"""WITH RECURSIVE {_PACKED} SELECT doc_id, unit_id, ordinal, kind, array_to_string(path, ' > ') AS section_path, {sql_tokens('text')} AS token_estimate, char_start, char_end, sha256(text) AS text_sha FROM units_""",
+)
 def segment_units(spark, sf_dir):
     return segment.units(headed(spark, sf_dir)).select("doc_id", "unit_id", "ordinal", "kind", F.array_join("section_path", " > ").alias("section_path"), "token_estimate", "char_start", "char_end", T.sha(F.col("text")).alias("text_sha"))
 
 
-@query("document_facts")
+@query(
+    "document_facts",
+    f"""WITH RECURSIVE {_PACKED},
+        w AS (SELECT doc_id, source, {sql_words('left(text, 4000)')} AS w FROM (SELECT d.doc_id, d.source, array_to_string(ls, chr(10)) AS text FROM documents d JOIN added USING (doc_id))),
+        m AS (SELECT *, len(list_filter(w, lambda x: list_contains({sql_list(W.FRENCH_MARKERS)}, x))) AS fr, len(list_filter(w, lambda x: list_contains({sql_list(W.ENGLISH_MARKERS)}, x))) AS en FROM w),
+        h AS (SELECT doc_id, arg_min(text, block) AS title, count(*) AS n FROM b WHERE kind = 'heading' GROUP BY doc_id),
+        t AS (SELECT doc_id, sum({sql_tokens('text')})::BIGINT AS tokens, count(*) AS units FROM units_ GROUP BY doc_id)
+        SELECT m.doc_id, source AS filename, coalesce(title, replace(regexp_replace(source, '\\.[^.]*$', ''), '_', ' ')) AS title, coalesce(n, 0)::INTEGER AS section_titles,
+               coalesce(tokens, 0) AS token_estimate, coalesce(units, 0) AS unit_count, CASE WHEN fr = en THEN 'und' WHEN fr > en THEN 'fr' ELSE 'en' END AS language
+        FROM m LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
 def document_facts(spark, sf_dir):
     d = headed(spark, sf_dir)
     return segment.document_facts(d, segment.blocks(d), segment.units(d)).withColumn("section_titles", F.size("section_titles"))
@@ -458,7 +524,15 @@ def near_dedup_units(spark, sf_dir):
     return context.drop_near(context.drop_exact(document_units(spark, sf_dir))).select("doc_id")
 
 
-@query("merge_fragments")
+@query(
+    "merge_fragments",
+    f"""WITH RECURSIVE {_PACKED},
+        sized AS MATERIALIZED (SELECT *, {sql_tokens('text')} AS t FROM units_),
+        joined AS (SELECT doc_id, ordinal, unit_id, path, text, t FROM sized WHERE ordinal = 0 UNION ALL
+                   SELECT doc_id, ordinal, CASE WHEN j THEN before ELSE unit_id END, path, CASE WHEN j THEN so_far || chr(10) || text ELSE text END, CASE WHEN j THEN ({sql_tokens("(so_far || chr(10) || text)")}) ELSE t END
+                   FROM (SELECT u.*, j.unit_id AS before, j.text AS so_far, u.path = j.path AND greatest(u.t, j.t) < 70 AS j FROM joined j JOIN sized u ON u.doc_id = j.doc_id AND u.ordinal = j.ordinal + 1))
+        SELECT doc_id, unit_id, t AS token_estimate, sha256(text) AS text_sha FROM joined QUALIFY row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY ordinal DESC) = 1""",
+)
 def merge_fragments(spark, sf_dir):
     return context.merge_fragments(segment.units(headed(spark, sf_dir))).select("doc_id", "unit_id", "token_estimate", T.sha(F.col("text")).alias("text_sha"))
 
@@ -581,7 +655,6 @@ EVIDENCE = f"""
     evidence AS MATERIALIZED (SELECT question_id, pick, 'S' || pick AS label, source, d.text FROM top_two JOIN documents d USING (doc_id) WHERE pick <= 2)
 """
 REFUSED = f"CASE WHEN {sql_any("(' ' || lower(question) || ' ')", W.FRENCH_QUESTION)} THEN '{prompt.REFUSAL_FR}' ELSE '{prompt.REFUSAL}' END"
-BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
 
 @query(

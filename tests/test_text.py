@@ -1,9 +1,11 @@
 """The text kernel against hand-made expectations."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import cleaning, pytext
+from quillspark.functions import cleaning
 from quillspark.functions import text as T
 
 
@@ -45,7 +47,8 @@ def test_jaccard(spark):
 
 def test_token_count_equals_python(of):
     texts = ["", "a", "hello world", "x" * 37, "one two three four five six seven", "é é"]
-    assert of(T.token_count, *texts) == [pytext.token_count(t) for t in texts]
+    plain = lambda t: max(1, math.ceil(max(len(t) / 3.6, len(t.split()) * 1.32))) if t else 0
+    assert of(T.token_count, *texts) == [plain(t) for t in texts]
     assert of(T.token_count, "x" * 36) == [10]
 
 
@@ -79,10 +82,21 @@ def test_language_and_marks(of):
         ("Use the rules.\nBe brief please\nThe limit is 25.", "Use the rules.\nBe brief please", "The limit is 25.", ["scaffolding"]),
         ("Reasoning first. Final answer: 25 EUR per day.", "", "25 EUR per day.", ["final answer"]),
         ("It stops in the mid", "", "It stops in the mid", ["truncated"]),
+        ("<thi<think>a</think>nk>b</think>The end.", "", "The end.", ["reasoning"]),
+        ("Thinking process: a\nAnswer: Thinking process: b\nresponse: It is 5 EUR.", "", "It is 5 EUR.", ["reasoning"]),
+        ("x\nAvailable commands:\n/help\n\n/exit or Ctrl+C to stop\n> Say it.\nKeep it short.\n\nIt is so. [ Prompt: 3 t/s ]", "Say it.\nKeep it short.", "It is so.", ["scaffolding"]),
+        ("/help\n/exit", "", "/help\n/exit", ["scaffolding", "truncated"]),
+        ("> ", "", ">", ["scaffolding", "truncated"]),
+        ("Say it now please: ok\nrest of it", "Say it now please: ok", "rest of it", ["scaffolding", "truncated"]),
+        ("The answer: no", "", "The answer: no", ["truncated"]),
+        ("Draft answer: it is 1. **Final answer:** it is 2.\r\nYes.", "", "it is 2.\nYes.", ["final answer"]),
+        (None, "", "", []),
     ],
 )
-def test_cleaning(raw, prompt, answer, notes):
-    assert cleaning.clean(raw, prompt) == (answer, notes)
+def test_cleaning(spark, raw, prompt, answer, notes):
+    row = spark.createDataFrame([(raw, prompt)], "raw string, prompt string")
+    got = row.select(cleaning.clean_generation(F.col("raw"), F.col("prompt")).alias("c")).first().c
+    assert (got.text, got.notes) == (answer, notes)
 
 
 def test_parameters(spark):
