@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from near import near_texts
-from quillspark.llm import bottomk, common, overlap
+from quillspark.llm import bottomk, common
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,7 +48,7 @@ def passages():
 @pytest.mark.parametrize("cell, most", [(4, 1), (8192, 1_000_000)])
 def test_groups_match_all_pairs(spark, monkeypatch, cell, most):
     monkeypatch.setattr(bottomk, "CELL", cell)
-    monkeypatch.setattr(overlap, "TEXTS", 8 if cell == 4 else 256)
+    monkeypatch.setattr(bottomk, "TEXTS", 8 if cell == 4 else 256)
     monkeypatch.setattr(common, "MOST_ROWS", most)
     monkeypatch.setattr(common, "LEAST_HOT", 20 if cell == 4 else 1000)
     texts = [*near_texts().values(), *passages(), *["a copy of one text in many"] * 40, "x" * 50_000, "long one " * 20_000]
