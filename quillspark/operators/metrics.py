@@ -5,6 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.keep import keep
+from .retrieval import sized
+
+
+SPLITS = 1024  # parts that a range of values is cut into, round by round
+
+
+def exact_quantiles(samples: DataFrame, shares: dict[str, float], metric: str = "metric", value: str = "value") -> DataFrame:
+    """M5: per metric, a column for each share: its quantile, exact, with linear interpolation.
+
+    A quantile lies on two ranks at most. The value at a rank is found by counting: the range that holds it
+    is cut into SPLITS parts, the rows of each part are counted (in the tasks first), and the part that holds
+    the rank, from its least to its greatest value, is the next range; a range of one value ends it. No
+    task holds more than counts, however many rows a metric has. NaN and null are no values.
+    """
+    v = F.col(value).cast("double")
+    rows = samples.select(F.col(metric).alias("metric"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    ranges = rows.groupBy("metric").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    both = [F.struct(F.lit(name).alias("share"), f((F.col("n") - 1) * F.lit(p)).cast("long").alias("rank")) for name, p in shares.items() for f in (F.floor, F.ceil)]
+    found = keep(ranges.select("metric", F.explode(F.array_distinct(F.array(*both))).alias("t"), "low", "high").select("metric", "t.share", "t.rank", "low", "high", F.lit(0).cast("long").alias("below")))
+    open_ = F.col("low") < F.col("high")
+    while not found.where(open_).isEmpty():
+        # ranks in one range share its counts
+        wanted = found.where(open_).select("metric", "low", "high", "below").distinct()
+        held = rows.join(sized(keep(wanted)), "metric").where(F.col("v").between(F.col("low"), F.col("high")))
+        # the least and the greatest value have parts of their own, so that each round gets somewhere, infinities or not
+        scale = F.when(F.abs(F.col("high") - F.col("low")) < float("inf"), 1.0).otherwise(0.5)
+        along = F.nanvl((F.col("v") * scale - F.col("low") * scale) / (F.col("high") * scale - F.col("low") * scale), F.lit(0.5))
+        within = F.least(F.lit(SPLITS - 2), 1 + F.floor(along * (SPLITS - 2)))
+        part = F.when(F.col("v") == F.col("low"), 0).when(F.col("v") == F.col("high"), SPLITS - 1).otherwise(within).alias("part")
+        counts = held.groupBy("metric", "low", "high", "below", part).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = Window.partitionBy("metric", "low", "high").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("first", F.col("below") + F.coalesce(F.sum("c").over(before), F.lit(0)))
+        inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c"))
+        next_ = found.where(open_).drop("below").join(counts.drop("below"), ["metric", "low", "high"]).where(inside)
+        next_ = next_.select("metric", "share", "rank", F.col("least").alias("low"), F.col("most").alias("high"), F.col("first").alias("below"))
+        found = keep(found.where(~open_).unionByName(next_))
+    sums = ranges.select("metric", "n").join(found, "metric")
+    columns = []
+    for name, p in shares.items():
+        place = (F.col("n") - 1) * F.lit(p)
+        own = F.col("share") == name
+        low, high = F.max(F.when(own & (F.col("rank") == F.floor(place)), F.col("low"))), F.max(F.when(own & (F.col("rank") == F.ceil(place)), F.col("low")))
+        # as weights of both values, which is how built-in percentiles interpolate
+        over = F.first(place - F.floor(place))
+        columns.append(F.when(low == high, low).otherwise(low * (1 - over) + high * over).alias(name))
+    return sums.groupBy("metric").agg(*columns).withColumnRenamed("metric", metric)
+
 
 def aggregate(samples: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
     """M4 to M6: per metric count, mean, min, max, population deviation, median, p95, cv, stable.
@@ -13,10 +61,9 @@ def aggregate(samples: DataFrame, metric: str = "metric", value: str = "value")
     """
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
     r = lambda c: F.coalesce(F.round(c, 4), F.lit(0.0))
-    out = samples.groupBy(metric).agg(
-        F.count(v).alias("samples"), r(F.avg(v)).alias("mean"), r(F.min(v)).alias("minimum"), r(F.max(v)).alias("maximum"),
-        r(F.stddev_pop(v)).alias("stdev"), r(F.median(v)).alias("median"), r(F.percentile(v, 0.95)).alias("p95"),
-    )
+    out = samples.groupBy(metric).agg(F.count(v).alias("samples"), r(F.avg(v)).alias("mean"), r(F.min(v)).alias("minimum"), r(F.max(v)).alias("maximum"), r(F.stddev_pop(v)).alias("stdev"))
+    ranks = exact_quantiles(samples, {"median": 0.5, "p95": 0.95}, metric, value).withColumnRenamed(metric, "named")
+    out = out.join(ranks, F.col(metric).eqNullSafe(F.col("named")), "left").drop("named").withColumns({c: r(F.col(c)) for c in ("median", "p95")})
     cv = F.coalesce(F.round(F.try_divide("stdev", "mean"), 4), F.lit(0.0))
     return out.withColumn("cv", cv).withColumn("stable", (F.col("samples") >= 3) & (F.col("cv") <= 0.15))
 

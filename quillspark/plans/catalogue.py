@@ -8,6 +8,7 @@ are the assistants' turns, samples are the events.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import cleaning
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import context, evaluate, metrics, prompt, retrieval, segment, validate
+from ..operators import context, contract, evaluate, lifecycle, metrics, prompt, retrieval, segment, validate
 from ..sources import corpus
-from ..streaming import telemetry
+from ..streaming import sessions, telemetry
 from . import ask as ask_plan
+from .keep import keep, shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -298,11 +300,6 @@ def parameter_estimates(spark, sf_dir):
 # -- S, D: sources and segmentation ------------------------------------------------------
 
 
-@query("source_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
-def source_counts(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
-
-
 @query("corpus_profile", f"SELECT lang, count(*) AS documents, sum({sql_tokens('text')})::BIGINT AS tokens, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
 def corpus_profile(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(T.token_count(F.col("text"))).alias("tokens"), F.sum(F.length("text")).cast("long").alias("chars"))
@@ -319,12 +316,76 @@ def latest_by_key(spark, sf_dir):
     return corpus.latest_by(e, "user_id", "at").select("user_id", "event_id")
 
 
+def stored(spark, sf_dir) -> corpus.CorpusStore:
+    """A store in the shared folder, written, upserted and deleted from as `upsert_documents` says."""
+    store = corpus.CorpusStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    d = documents(spark, sf_dir).select("doc_id", "source")
+    u = document_units(spark, sf_dir).select("doc_id", "ordinal", "unit_id", "token_estimate", T.sha(F.col("text")).alias("checksum"))
+    store.upsert(d, u, "doc_id")
+    fifth = d.where("doc_id % 5 = 0").withColumn("source", F.upper("source"))
+    store.upsert(fifth, u.join(fifth, "doc_id", "left_semi").withColumn("token_estimate", F.col("token_estimate") + 1), "doc_id")
+    store.delete(d.where("doc_id % 7 = 3"), "doc_id")
+    return store
+
+
 @query("upsert_documents", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(source) ELSE source END AS source FROM documents WHERE doc_id % 7 <> 3")
 def upsert_documents(spark, sf_dir):
-    """S7, S8 as plans: fresh rows replace old ones by id, deleted ids go."""
+    """Fresh rows replace old ones by id, deleted ids go."""
+    return stored(spark, sf_dir).documents("doc_id")
+
+
+@query("store_units", f"SELECT doc_id, 0 AS ordinal, doc_id::VARCHAR AS unit_id, {sql_tokens('text')} + (doc_id % 5 = 0)::INTEGER AS token_estimate, sha256(text) AS checksum FROM documents WHERE doc_id % 7 <> 3")
+def store_units(spark, sf_dir):
+    """The units follow their documents."""
+    return stored(spark, sf_dir).units(key="doc_id")
+
+
+@query("source_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def source_counts(spark, sf_dir):
+    """From a store of all documents."""
+    store = corpus.CorpusStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     d = documents(spark, sf_dir).select("doc_id", "source")
-    fresh = d.where("doc_id % 5 = 0").withColumn("source", F.upper("source"))
-    return d.join(fresh, "doc_id", "left_anti").unionByName(fresh).join(d.where("doc_id % 7 = 3"), "doc_id", "left_anti")
+    store.upsert(d, d.withColumn("ordinal", F.lit(0)), "doc_id")
+    return store.documents("doc_id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("store_counts", "SELECT 0 AS step, count(*) AS documents, count(*) AS units FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT 1, 0, 0")
+def store_counts(spark, sf_dir):
+    """Before and after the store is cleared."""
+    store = stored(spark, sf_dir)
+    before = keep(store.counts().withColumn("step", F.lit(0)))
+    store.clear()
+    return before.unionByName(store.counts().withColumn("step", F.lit(1)))
+
+
+@query(
+    "store_snapshot",
+    f"SELECT count(*) AS documents, count(*) AS units, sum({sql_tokens('text')} + (doc_id % 5 = 0)::INTEGER)::BIGINT AS tokens, sha256(string_agg(sha256(text), '|' ORDER BY doc_id)) AS corpus_checksum FROM documents WHERE doc_id % 7 <> 3",
+)
+def store_snapshot(spark, sf_dir):
+    """The snapshot of the store's state; the second call reads what the first one wrote."""
+    store = stored(spark, sf_dir)
+    store.snapshot("doc_id")
+    return store.snapshot("doc_id").select("documents", F.col("units").cast("long"), F.col("tokens").cast("long"), "corpus_checksum")
+
+
+@query(
+    "session_log",
+    """WITH e AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY user_id)
+       SELECT user_id AS session_id, CASE WHEN user_id % 5 = 0 THEN 'again' ELSE 'first' END AS profile_id, CASE WHEN user_id % 5 = 0 THEN last ELSE first END AS created_at,
+              CASE WHEN bought AND user_id % 5 <> 0 THEN last END AS closed_at, CASE WHEN bought AND user_id % 5 <> 0 THEN n END AS requests FROM e""",
+)
+def session_log(spark, sf_dir):
+    """Sessions opened, closed, and some of them opened anew; one log is compacted in between."""
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("bought"))
+    e = keep(e.withColumnRenamed("user_id", "session_id").withColumns({c: F.col(c).cast("timestamp") for c in ("first", "last")}))
+    store = corpus.CorpusStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.open_sessions(e.select("session_id", F.lit("first").alias("profile_id"), F.col("first").alias("created_at")))
+    store.close_sessions(e.where("bought").select("session_id", F.col("last").alias("closed_at"), F.col("n").alias("requests")))
+    store.compact_sessions()
+    store.open_sessions(e.where("session_id % 5 = 0").select("session_id", F.lit("again").alias("profile_id"), F.col("last").alias("created_at")))
+    out = store.sessions()
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "closed_at")})
 
 
 @query("corpus_snapshot", f"""SELECT count(*) AS documents, count(*) AS units, sum({sql_tokens('text')})::BIGINT AS tokens, sha256(string_agg(sha256(text), '|' ORDER BY doc_id)) AS corpus_checksum FROM documents""")
@@ -504,9 +565,8 @@ def near_dup_pairs(spark, sf_dir):
     return p.select(F.col("a_doc_id").alias("first_id"), F.col("b_doc_id").alias("second_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
-# the rule unit by unit: a step's state is the list of those gone so far
-_SEQUENTIAL = f"""
-    WITH RECURSIVE {TERMS.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM (SELECT doc_id, " + sql_content("text") + " AS w FROM documents) GROUP BY array_to_string(w, ' '))")},
+# the rule unit by unit over terms(doc_id, text, w): a step's state is the list of those gone so far
+_ONE_BY_ONE = f"""
     {PAIRS.replace(TERMS + ",", "")},
     tokens AS (SELECT doc_id, {sql_tokens('text')} AS t FROM terms),
     alike AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, x.t AS ta, y.t AS tb FROM g a JOIN g b ON a.bucket = b.bucket AND a.figures = b.figures AND a.doc_id < b.doc_id
@@ -514,9 +574,11 @@ _SEQUENTIAL = f"""
     turns AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) AS i, list({{'a': a, 'ta': ta, 'tb': tb}} ORDER BY a) AS before FROM alike GROUP BY b),
     steps AS (SELECT 0 AS i, []::BIGINT[] AS gone UNION ALL
               SELECT t.i, CASE WHEN m IS NULL THEN gone WHEN m.tb <= m.ta THEN list_append(gone, b) ELSE list_append(gone, m.a) END
-              FROM (SELECT t.i, b, gone, list_filter(before, lambda x: NOT list_contains(gone, x.a))[1] AS m FROM steps s JOIN turns t ON t.i = s.i + 1) t)
-    SELECT doc_id FROM terms WHERE NOT list_contains((SELECT gone FROM steps ORDER BY i DESC LIMIT 1), doc_id)
+              FROM (SELECT t.i, b, gone, list_filter(before, lambda x: NOT list_contains(gone, x.a))[1] AS m FROM steps s JOIN turns t ON t.i = s.i + 1) t),
+    left_ AS (SELECT doc_id FROM terms WHERE NOT list_contains((SELECT gone FROM steps ORDER BY i DESC LIMIT 1), doc_id))
 """
+_FIRSTS = TERMS.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM (SELECT doc_id, " + sql_content("text") + " AS w FROM documents) GROUP BY array_to_string(w, ' '))")
+_SEQUENTIAL = f"WITH RECURSIVE {_FIRSTS}, {_ONE_BY_ONE} SELECT doc_id FROM left_"
 
 
 @query("near_dedup_units", _SEQUENTIAL)
@@ -537,7 +599,20 @@ def merge_fragments(spark, sf_dir):
     return context.merge_fragments(segment.units(headed(spark, sf_dir))).select("doc_id", "unit_id", "token_estimate", T.sha(F.col("text")).alias("text_sha"))
 
 
-@query("compaction_report")
+@query(
+    "compaction_report",
+    f"""WITH RECURSIVE {_PACKED},
+        u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, ordinal) AS id, doc_id AS doc, ordinal, path, kind, text, {sql_tokens('text')} AS t, {sql_content('text')} AS w FROM units_),
+        terms AS MATERIALIZED (SELECT id AS doc_id, doc, ordinal, path, text, t, w FROM u WHERE NOT ({NOISE_SQL}) AND (len(w) >= 4 OR kind = 'table') QUALIFY row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY id) = 1),
+        {_ONE_BY_ONE},
+        kept AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ordinal) AS n FROM terms WHERE doc_id IN (SELECT doc_id FROM left_)),
+        joined AS (SELECT doc, n, doc_id, path, text, t FROM kept WHERE n = 1 UNION ALL
+                   SELECT doc, n, CASE WHEN j THEN before ELSE doc_id END, path, CASE WHEN j THEN so_far || chr(10) || text ELSE text END, CASE WHEN j THEN ({sql_tokens("(so_far || chr(10) || text)")}) ELSE t END
+                   FROM (SELECT k.*, j.doc_id AS before, j.text AS so_far, k.path = j.path AND greatest(k.t, j.t) < 70 AS j FROM joined j JOIN kept k ON k.doc = j.doc AND k.n = j.n + 1)),
+        merged AS (SELECT doc, doc_id, t FROM joined QUALIFY row_number() OVER (PARTITION BY doc, doc_id ORDER BY n DESC) = 1),
+        s AS (SELECT 0 AS step, 'input' AS stage, count(*) AS units, sum(t)::BIGINT AS tokens FROM u UNION ALL SELECT 1, 'exact', count(*), sum(t)::BIGINT FROM terms UNION ALL SELECT 2, 'merged', count(*), sum(t)::BIGINT FROM merged)
+        SELECT step, stage, units, tokens, round(1 - tokens / (SELECT tokens FROM s WHERE step = 0)::DOUBLE, 4) AS compression_ratio, tokens > (SELECT tokens FROM s WHERE step = 0) AS grown FROM s""",
+)
 def compaction_report(spark, sf_dir):
     return context.compaction_report(ask_plan.prepare(headed(spark, sf_dir)))
 
@@ -644,7 +719,8 @@ def retrieved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Each benchmark item with the two documents that BM25 ranks first among all, as evidence."""
     q, d = questions(spark, sf_dir), documents(spark, sf_dir)
     best = _topk(retrieval.bm25(document_units(spark, sf_dir), q), 2)
-    rows = ask_plan.keep(best.select("question_id", F.col("rank").cast("int").alias("pick"), F.col("unit_id").cast("long").alias("doc_id"))).join(d, "doc_id")
+    # the few ids go to the texts
+    rows = d.join(retrieval.sized(ask_plan.keep(best.select("question_id", F.col("rank").cast("int").alias("pick"), F.col("unit_id").cast("long").alias("doc_id")))), "doc_id")
     evidence = rows.select("question_id", "pick", F.concat(F.lit("S"), "pick").alias("label"), "doc_id", F.col("source").alias("document_name"), F.array().cast("array<string>").alias("section_path"), "text", T.token_count(F.col("text")).alias("token_estimate"))
     return q, evidence
 
@@ -943,6 +1019,63 @@ def illegal_transitions(spark, sf_dir):
     return ask_plan.illegal_transitions(e, legal, "user_id", "event_type", "at").select("user_id", "event_id", "event_type", "before")
 
 
+def session_moves(spark, sf_dir) -> DataFrame:
+    """Events as moves of their users' sessions: mostly along the lifecycle, some astray."""
+    e = read(spark, sf_dir, "events")
+    names = F.array(*map(F.lit, lifecycle.STATES))
+    return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("at"), F.get(names, ((F.col("event_id") * 7 + F.col("user_id")) % 10).cast("int")).alias("state"))
+
+
+_MOVES_SQL = f"""
+    WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, {sql_list(lifecycle.STATES)}[(event_id * 7 + user_id) % 10 + 1] AS state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    walk AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS state, NULL::VARCHAR AS before, false AS legal, 'idle' AS now FROM e WHERE n = 1 UNION ALL
+             SELECT user_id, n, event_id, state, now, legal, CASE WHEN legal THEN state ELSE now END
+             FROM (SELECT e.*, w.now, list_contains({sql_list(f"{a}>{b}" for a, bs in lifecycle.MOVES.items() for b in bs)}, w.now || '>' || e.state) AS legal FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+    SELECT user_id AS session_id, event_id AS at, state, before, legal FROM walk WHERE n > 0
+"""
+
+
+@query("session_lifecycle", _MOVES_SQL)
+def session_lifecycle(spark, sf_dir):
+    return lifecycle.replay(session_moves(spark, sf_dir))
+
+
+@query("stream_lifecycle", _MOVES_SQL)
+def stream_lifecycle(spark, sf_dir):
+    """The same moves from a stream of files, judged under a checkpoint and written by a file sink."""
+    root = f"{shared_dir(spark)}/lifecycle-{uuid.uuid4().hex}"
+    events = telemetry.read_events(spark, sf_dir, schema=read(spark, sf_dir, "events").schema)
+    names = F.array(*map(F.lit, lifecycle.STATES))
+    moves = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("at"), F.get(names, ((F.col("event_id") * 7 + F.col("user_id")) % 10).cast("int")).alias("state"))
+    out = sessions.judged(moves)
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{root}/moves")
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/moves").drop("depth")
+
+
+@query(
+    "run_contract",
+    f"""WITH l AS (SELECT user_id::VARCHAR AS request_id, event_id AS n, {sql_list([*contract.STAGES, 'unlisted'])}[event_id % 11 + 1] AS stage, event_id % 11 AS place, event_type = 'error' AS failed, event_id % 2 = 0 AS told FROM events),
+        o AS (SELECT *, lag(stage) OVER w AS before, lag(place) OVER w AS last_place FROM l WHERE place < 10 WINDOW w AS (PARTITION BY request_id ORDER BY n)),
+        r AS (SELECT user_id, count(*) * 10 AS tokens FROM events GROUP BY user_id)
+        SELECT request_id, 'order' AS rule, stage || ' after ' || before AS detail FROM o WHERE place < last_place
+        UNION ALL SELECT request_id, 'unknown stage', stage FROM l WHERE place = 10 UNION ALL SELECT request_id, 'silent failure', stage FROM l WHERE failed AND NOT told
+        UNION ALL SELECT user_id::VARCHAR, 'profile', 'none recorded' FROM r WHERE user_id % 7 = 0 UNION ALL SELECT user_id::VARCHAR, 'metrics', 'peak_rss_mb' FROM r WHERE user_id % 11 = 0
+        UNION ALL SELECT user_id::VARCHAR, 'budget', tokens || ' of 150' FROM r WHERE tokens > 150
+        UNION ALL SELECT user_id::VARCHAR, 'traceability', 'S' || event_id FROM events WHERE event_type = 'click' AND event_id % 13 = 0""",
+)
+def run_contract(spark, sf_dir):
+    """Events as a log of stages, their users as runs, clicks as evidence."""
+    e = read(spark, sf_dir, "events").withColumn("request_id", F.col("user_id").cast("string"))
+    names = F.array(*map(F.lit, [*contract.STAGES, "unlisted"]))
+    errors = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("E"))).otherwise(F.array().cast("array<string>"))
+    log = e.select("request_id", F.col("event_id").alias("n"), F.get(names, (F.col("event_id") % 11).cast("int")).alias("stage"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), errors.alias("errors"))
+    runs = e.groupBy("request_id", "user_id").agg(F.sum("value").alias("total_ms"), (F.count("*") * 10).alias("prompt_tokens"))
+    runs = runs.withColumns({"profile_id": F.when(F.col("user_id") % 7 != 0, "p"), "peak_rss_mb": F.when(F.col("user_id") % 11 != 0, 1.0), "usable_tokens": F.lit(150)})
+    clicks = e.where("event_type = 'click'").select("request_id", F.concat(F.lit("S"), "event_id").alias("label"), F.when(F.col("event_id") % 13 != 0, "u").alias("unit_id"), F.col("event_type").alias("document_name"))
+    return contract.violations(log, runs, clicks)
+
+
 @query("ask_batch")
 def ask_batch(spark, sf_dir):
     """Ingest to metrics in one job: all benchmark items against all documents."""
@@ -958,10 +1091,9 @@ def ask_batch(spark, sf_dir):
 )
 def stream_statistics(spark, sf_dir):
     """The stream's closed windows, by one available-now trigger over the events table."""
-    import uuid
-
-    name = f"stats_{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/statistics-{uuid.uuid4().hex}"
     events = telemetry.read_events(spark, sf_dir, schema=read(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    run = telemetry.windowed_statistics(events).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    out = telemetry.windowed_statistics(events)
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{root}/windows")
     run.awaitTermination()
-    return spark.table(name).drop("p95", "mean", "stdev").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return spark.read.schema(out.schema).parquet(f"{root}/windows").drop("p95", "mean", "stdev").withColumn("start", F.col("start").cast("timestamp_ntz"))

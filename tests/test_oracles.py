@@ -8,7 +8,7 @@ import pytest
 
 from quillspark.plans import catalogue
 
-SLOW = {"ask_batch", "compaction_report"}
+SLOW = {"ask_batch"}  # has a test of its own
 
 
 def shown(value):
@@ -38,3 +38,16 @@ def test_matches_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - SLOW))
 def test_runs(spark, small, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
+
+
+def test_ask_batch(spark, small):
+    """Every question has one row; evidence stays within its budget, and the numbers belong together."""
+    rows = catalogue.QUERIES["ask_batch"](spark, small).collect()
+    asked = catalogue.questions(spark, small).count()
+    assert len(rows) == asked and len({r.question_id for r in rows}) == asked
+    tokens = catalogue.QUERIES["compaction_report"](spark, small).where("stage = 'input'").first().tokens
+    for r in rows:
+        assert r.corpus_tokens == tokens and (r.passages == 0) == (r.context_tokens == 0) and r.prompt_tokens > r.context_tokens
+        assert r.passages <= 12 and abs(r.end_to_end_compression - (1 - r.context_tokens / tokens)) < 1e-3
+        assert r.passed is not None and r.confidence in ("high", "medium", "low", "insufficient")
+    assert sum(r.passages > 0 for r in rows) >= asked // 2
