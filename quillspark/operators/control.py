@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.keep import keep
+
 
 def model_token_count(text: Column, tokenize: Callable[[str], list]) -> Column:
     """Tokens by a model's own tokenizer, called inside Arrow batches; an empty text has none."""
@@ -39,11 +41,17 @@ class Spans:
 
 
 def request_ids(questions: DataFrame, session_id: str, order: str = "question_id") -> DataFrame:
-    """session#0001 and so on, in the order of a column; a batch's questions are few."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(order))
-    return questions.withColumn("request_id", F.format_string(f"{session_id}#%04d", n))
+    """session#0001 and so on, in the order of a column, whatever the number of questions.
+
+    Sorted ranges count their rows; a row's number is its place in its range and the rows before the range.
+    """
+    ranged = keep(questions.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("c"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    shifts = sizes.select("part", (before - F.col("first") + 1).alias("shift"))
+    rows = ranged.withColumn("part", part).join(F.broadcast(shifts), "part")
+    return rows.select(*questions.columns, F.format_string(f"{session_id}#%04d", F.col("place") + F.col("shift")).alias("request_id"))
 
 
 def subset(units: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -701,12 +701,44 @@ def _evidence(spark, sf_dir):
     return q, asked, ask_plan.keep(retrieval.select_diverse(pool, asked))
 
 
-@query("mmr_select")
+def _picked_sql() -> str:
+    """picks(question_id, turn, unit_id, score, penalty): each turn takes the pool's worthiest passage that fits."""
+    hits = {k: "list_filter(" + sql_list(m) + ", lambda m: contains(p, ' ' || m) OR contains(p, m || ' '))" for k, m in sorted(W.INTENT_MARKERS.items())}
+    counts = ", ".join(f"len({v}) AS {k}" for k, v in hits.items())
+    best = "greatest(" + ", ".join(hits) + ")"
+    policy = context.BudgetPolicy()
+    first = lambda values, other: "CASE " + " ".join(f"WHEN best > 0 AND {k} = best THEN {values.get(k, other)}" for k in hits) + f" ELSE {values['factual']} END"
+    return f"""
+    {TOTALS.strip()},
+    ranks AS (SELECT *, lexical * (1 + boost) AS total, row_number() OVER (PARTITION BY question_id ORDER BY round(lexical * (1 + boost), 9) DESC, unit_id) AS rank FROM boosted),
+    floored AS (SELECT *, max(total) OVER (PARTITION BY question_id) AS best FROM ranks QUALIFY rank <= 40),
+    pool AS MATERIALIZED (SELECT question_id, unit_id, total, text, w, {sql_tokens('text')} AS cost, {sql_grams('w', 4)} AS g FROM floored f JOIN terms t ON t.doc_id::VARCHAR = f.unit_id WHERE total >= greatest(0.02, 0.15 * best)),
+    sims AS (SELECT a.question_id, a.unit_id, map(list(b.unit_id), list({sql_jaccard('a.g', 'b.g')})) AS like_ FROM pool a JOIN pool b USING (question_id) GROUP BY 1, 2),
+    cand AS MATERIALIZED (SELECT question_id, unit_id, total, cost, like_ FROM pool JOIN sims USING (question_id, unit_id)),
+    intents AS (SELECT *, {best} AS best FROM (SELECT question_id, question, {counts} FROM (SELECT question_id, question, ' ' || trim(lower(question)) || ' ' AS p FROM asked))),
+    budgets AS MATERIALIZED (SELECT question_id, {first(policy.passages, 5)} AS most, ({first(policy.factors, 0.8)})::DOUBLE AS f, greatest(256, 4096 - 512 - 160 - ({sql_tokens('question')})) AS base FROM intents),
+    picks AS (SELECT question_id, 0 AS turn, greatest(256, least(base, floor(base * f)::INTEGER)) AS room, []::VARCHAR[] AS picked, NULL::VARCHAR AS unit_id, 0::DOUBLE AS score, 0::DOUBLE AS penalty FROM budgets UNION ALL
+              SELECT question_id, turn + 1, room - b.cost, list_append(picked, b.unit_id), b.unit_id, b.total, b.penalty
+              FROM (SELECT question_id, any_value(turn) AS turn, any_value(room) AS room, any_value(picked) AS picked,
+                           list({{'unit_id': unit_id, 'cost': cost, 'total': total, 'penalty': 0.35::DOUBLE * near_}} ORDER BY round(total - 0.35::DOUBLE * near_, 9) DESC, unit_id)[1] AS b
+                    FROM (SELECT p.question_id, turn, room, picked, c.unit_id, cost, total, coalesce(list_max(list_transform(picked, lambda x: c.like_[x])), 0)::DOUBLE AS near_
+                          FROM picks p JOIN cand c ON c.question_id = p.question_id JOIN budgets d ON d.question_id = p.question_id
+                          WHERE turn < most AND NOT list_contains(picked, c.unit_id) AND (turn = 0 OR cost <= room)) GROUP BY question_id))
+    """
+
+
+_PICKED = _picked_sql()
+
+
+@query("mmr_select", f"WITH RECURSIVE {_PICKED} SELECT question_id, turn AS pick, 'S' || turn AS label, unit_id, round(score, 6) AS score, round(penalty, 6) AS penalty FROM picks WHERE turn > 0")
 def mmr_select(spark, sf_dir):
     return _evidence(spark, sf_dir)[2].select("question_id", "pick", "label", "unit_id", "score", "penalty")
 
 
-@query("retrieval_precision")
+@query(
+    "retrieval_precision",
+    f"WITH RECURSIVE {_PICKED} SELECT question_id, round(avg((len(list_intersect(w, a.terms)) > 0)::INT), 4) AS precision FROM picks JOIN pool USING (question_id, unit_id) JOIN asked a USING (question_id) WHERE turn > 0 GROUP BY 1",
+)
 def retrieval_precision(spark, sf_dir):
     q, _, e = _evidence(spark, sf_dir)
     return retrieval.precision(e, q)
@@ -762,7 +794,20 @@ def simulated_answer(spark, sf_dir):
     return prompt.extractive_answer(p, e).select("question_id", "answer")
 
 
-@query("unlabelled_answer")
+_DECLINED = f"CASE WHEN contains(lower(text), 'les extraits') OR contains(lower(text), 'la question') THEN '{prompt.REFUSAL_FR}' ELSE '{prompt.REFUSAL}' END"
+
+
+@query(
+    "unlabelled_answer",
+    f"""WITH RECURSIVE {_PICKED},
+        said AS MATERIALIZED (SELECT question_id, a.terms, text, list_filter(list_transform(string_split(replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(10), chr(30)), chr(30)), lambda s: trim(s, {BLANKS})), lambda s: length(s) > 25) AS ps
+                 FROM picks JOIN pool USING (question_id, unit_id) JOIN asked a USING (question_id) WHERE turn = 1),
+        each_ AS (SELECT question_id, terms, ps, unnest(ps) AS s FROM said),
+        scored AS (SELECT question_id, s, len(list_intersect(terms, {sql_content('s')})) AS o, list_position(ps, s) AS i FROM each_),
+        best AS (SELECT question_id, max(o) AS o, array_to_string(list(s ORDER BY o DESC, i, s)[1:2], ' ') AS top FROM scored GROUP BY 1)
+        SELECT question_id, CASE WHEN trim(text, {BLANKS}) = '' OR contains(text, 'no excerpt matched') THEN {_DECLINED} WHEN len(ps) = 0 THEN '{prompt.REFUSAL_FR}' WHEN len(terms) = 0 THEN array_to_string(ps[1:2], ' ')
+               WHEN o = 0 THEN {_DECLINED} ELSE top END AS answer FROM said LEFT JOIN best USING (question_id)""",
+)
 def unlabelled_answer(spark, sf_dir):
     q, _, e = _evidence(spark, sf_dir)
     rows = q.join(e.where("pick = 1").select("question_id", "text"), "question_id")
@@ -990,7 +1035,12 @@ def first_documents(spark, sf_dir):
     return evaluate.first_documents(documents(spark, sf_dir), 50).select("doc_id")
 
 
-@query("naive_context")
+@query(
+    "naive_context",
+    f"""WITH docs_ AS (SELECT 0 AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY source, doc_id) AS text FROM documents), {sql_truncate(3520)},
+        c AS (SELECT head AS context, {sql_tokens('text')} AS corpus_tokens, {sql_tokens('head')} AS context_tokens FROM truncated JOIN docs_ USING (doc_id))
+        SELECT *, round(least(1.0::DOUBLE, context_tokens / corpus_tokens::DOUBLE), 4) AS coverage, greatest(0, corpus_tokens - context_tokens) AS dropped_tokens FROM c""",
+)
 def naive_context(spark, sf_dir):
     return evaluate.naive_context(document_units(spark, sf_dir), 3520)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -17,13 +16,27 @@ LEAST_CHARS = 40
 
 
 def discover(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files below the paths as path, filename, suffix, modified_at, size_bytes, content."""
+    """Files below the paths as path, filename, suffix, modified_at, size_bytes, content.
+
+    A file that several of the paths lead to comes once: paths below others are left out, so that no
+    content has to be shuffled to find it twice.
+    """
+    paths = outermost(paths)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    raw = reader.load(list(paths)).unionByName(_empty_files(spark, paths)).dropDuplicates(["path"])
+    raw = reader.load(list(paths)).unionByName(_empty_files(spark, paths))
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), "content")
 
 
+def outermost(paths: tuple[str, ...]) -> tuple[str, ...]:
+    """The paths, without those that lie below another one or repeat it."""
+    out: list[str] = []
+    for path in sorted({p.rstrip("/") or "/" for p in paths}, key=lambda p: (p.count("/"), p)):
+        if not any(path == root or path.startswith(root.rstrip("/") + "/") for root in out):
+            out.append(path)
+    return tuple(out)
+
+
 def _empty_files(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
     """Files without bytes, which a scan leaves out, from the file system's listing."""
     hadoop, conf, rows = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration(), []
@@ -66,16 +79,15 @@ def pdf_text(content: bytes) -> str | None:
 def load_texts(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine). Errors never end a load; they are rows of the quarantine."""
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "extracted": [pdf_text(x) for x in b["content"]]})
+    @F.pandas_udf("string")
+    def extracted(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda x: None if x is None else pdf_text(x))
 
-    readable = described.where("error IS NULL")
-    plain = readable.where("suffix <> 'pdf'").withColumn("raw", decode(F.col("content")))
-    pdf = readable.where("suffix = 'pdf'")
-    found = pdf.select("path", "content").mapInPandas(extract, "path string, extracted string")
-    pdf = pdf.join(found, "path").withColumn("raw", F.col("extracted")).drop("extracted")
-    rows = plain.unionByName(pdf).withColumn("text", T.normalize(F.coalesce("raw", F.lit(""))))
+    is_pdf = F.col("suffix") == "pdf"
+    rows = described.where("error IS NULL")
+    # contents stay where they were read: what is no PDF goes through the function as null
+    raw = F.when(is_pdf, extracted(F.when(is_pdf, F.col("content")))).otherwise(decode(F.col("content")))
+    rows = rows.withColumn("raw", raw).withColumn("text", T.normalize(F.coalesce("raw", F.lit(""))))
     error = F.when((F.col("suffix") == "pdf") & F.col("raw").isNull(), "ING-002").when(F.length(T.strip(F.col("text"))) < LEAST_CHARS, "ING-007")
     rows = rows.withColumn("error", error)
     keep = ["path", "filename", "suffix", "modified_at", "size_bytes", "file_checksum", "descriptor_id"]

@@ -1,4 +1,4 @@
-"""Every catalogue query with SQL gives DuckDB's rows; every other one runs."""
+"""Every catalogue query with SQL gives DuckDB's rows; the whole plan's numbers belong together."""
 
 import glob
 import os
@@ -8,8 +8,6 @@ import pytest
 
 from quillspark.plans import catalogue
 
-SLOW = {"ask_batch"}  # has a test of its own
-
 
 def shown(value):
     if isinstance(value, float):
@@ -35,9 +33,8 @@ def test_matches_sql(spark, small, duck, name):
     assert sorted("|".join(shown(r[c]) for c in columns) for r in got.collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - SLOW))
-def test_runs(spark, small, name):
-    assert catalogue.QUERIES[name](spark, small).count() > 0
+def test_all_but_the_whole_plan_have_sql():
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"ask_batch"}
 
 
 def test_ask_batch(spark, small):
@@ -45,7 +42,9 @@ def test_ask_batch(spark, small):
     rows = catalogue.QUERIES["ask_batch"](spark, small).collect()
     asked = catalogue.questions(spark, small).count()
     assert len(rows) == asked and len({r.question_id for r in rows}) == asked
-    tokens = catalogue.QUERIES["compaction_report"](spark, small).where("stage = 'input'").first().tokens
+    plain = catalogue.QUERIES["compaction_report"](spark, small).where("stage = 'input'").first().tokens
+    tokens = rows[0].corpus_tokens  # of normalised texts, which are a little shorter
+    assert 0.99 * plain < tokens <= plain * 1.01
     for r in rows:
         assert r.corpus_tokens == tokens and (r.passages == 0) == (r.context_tokens == 0) and r.prompt_tokens > r.context_tokens
         assert r.passages <= 12 and abs(r.end_to_end_compression - (1 - r.context_tokens / tokens)) < 1e-3
