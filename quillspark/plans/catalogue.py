@@ -115,7 +115,7 @@ TERMS = f"terms AS MATERIALIZED (SELECT doc_id, source, text, {sql_content('text
 ASKED = f"asked AS MATERIALIZED (SELECT item_id AS question_id, text AS question, list_distinct({sql_content('text')}) AS terms FROM benchmark)"
 BM25 = f"""
     {TERMS}, {ASKED},
-    post AS MATERIALIZED (SELECT doc_id, term, len(any_value(w)) AS dl, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM terms) GROUP BY doc_id, term),
+    post AS MATERIALIZED (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM terms) GROUP BY doc_id, term),
     freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
     size AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM terms),
     lexical AS MATERIALIZED (
@@ -439,6 +439,51 @@ def segment_blocks(spark, sf_dir):
     return b.select("doc_id", F.col("block").cast("long").alias("block"), "kind", T.sha(F.col("text")).alias("text_sha"), "char_start", "char_end")
 
 
+def fenced(spark, sf_dir) -> DataFrame:
+    """Whole documents with code fences (one of them never closed), underlined and numbered headings added by line number."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.when(i % 9 == 4, F.array(F.lit("```"), x, F.lit("# no heading"), F.lit("  ```")))
+        .when(i % 14 == 6, F.array(F.substring(x, 1, 30), F.lit("====="), x))
+        .when(i % 14 == 9, F.array(F.substring(x, 1, 30), F.lit("---"), F.lit("---"), x))
+        .when(i % 23 == 10, F.array(F.concat(F.lit("1.2. "), F.substring(x, 1, 20)), x))
+        .when(i == 40, F.array(F.lit("~~~"), x))
+        .otherwise(F.array(x)),
+    )
+    return documents(spark, sf_dir).withColumn("text", F.array_join(F.flatten(lines), "\n"))
+
+
+@query(
+    "segment_fenced",
+    r"""WITH added AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1) % 9 = 4 THEN ['```', l, '# no heading', '  ```'] WHEN (i - 1) % 14 = 6 THEN [left(l, 30), '=====', l]
+              WHEN (i - 1) % 14 = 9 THEN [left(l, 30), '---', '---', l] WHEN (i - 1) % 23 = 10 THEN ['1.2. ' || left(l, 20), l] WHEN i = 41 THEN ['~~~', l] ELSE [l] END)) AS ls FROM documents),
+        lined AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n, length(array_to_string(ls, chr(10))) AS text_end FROM added),
+        a AS (SELECT *, trim(line) AS body, coalesce(lead(line) OVER w, '') AS following, regexp_matches(line, '^\s*(```|~~~)')::INT AS fence, regexp_matches(line, '^#{1,6}\s+.*\S\s*$') AS atx,
+              coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lined WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        b AS (SELECT *, sum(fence) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM a),
+        c AS (SELECT *, fences % 2 = 1 OR fence = 1 AS code FROM b),
+        d AS (SELECT *, NOT code AND body <> '' AND NOT atx AND length(body) <= 120 AND regexp_matches(following, '^(=+|-+)\s*$') AS may FROM c),
+        e AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, may ORDER BY n) AS stretch FROM d),
+        f AS (SELECT *, may AND row_number() OVER (PARTITION BY doc_id, may, stretch ORDER BY n) % 2 = 1 AS under FROM e),
+        g AS (SELECT *, coalesce(lag(under) OVER (PARTITION BY doc_id ORDER BY n), false) AS consumed,
+              regexp_matches(body, '^((\d+\.){1,4}|\d+\))\s+(\S.{0,110})$') AND length(body) <= 110 AND NOT regexp_matches(body, '[.;,]$') AND (trim(following) <> '' OR len(regexp_extract_all(body, '\S+')) <= 12) AS numbered,
+              length(body) BETWEEN 3 AND 90 AND NOT ends_with(body, '.') AND len(regexp_extract_all(body, '\p{L}')) >= 3 AND NOT regexp_matches(regexp_replace(body, '[^\p{L}]', '', 'g'), '[^\p{Lu}]') AND len(regexp_extract_all(body, '\S+')) <= 10 AS caps FROM f),
+        h AS (SELECT *, CASE WHEN code THEN 'code' WHEN body = '' THEN 'blank' WHEN atx OR under OR numbered OR caps THEN 'heading' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'table'
+              WHEN regexp_matches(line, '^\s{0,6}([-*•‣●]|\d+[.)])\s+\S') THEN 'list' ELSE 'paragraph' END AS kind, CASE WHEN code THEN (fences + 1) // 2 END AS region FROM g WHERE NOT consumed),
+        i AS (SELECT *, CASE WHEN kind <> 'heading' THEN 0 WHEN atx THEN length(regexp_extract(line, '^(#{1,6})', 1)) WHEN under THEN CASE WHEN starts_with(trim(following), '=') THEN 1 ELSE 2 END
+              WHEN numbered THEN least(6, 1 + len(regexp_extract_all(regexp_extract(body, '^\S+'), '\.'))) ELSE 2 END AS level,
+              (lag(kind) OVER w IS NULL OR kind = 'heading' OR kind <> lag(kind) OVER w OR region IS DISTINCT FROM lag(region) OVER w)::INT AS fresh, lead(start) OVER w AS next_start FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        j AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM i),
+        k AS (SELECT doc_id, grp, any_value(kind) AS kind, max(level) AS level, min(start)::INTEGER AS char_start,
+              trim(string_agg(CASE WHEN kind = 'heading' AND atx THEN regexp_extract(line, '^#{1,6}\s+(.*\S)\s*$', 1) WHEN kind = 'heading' THEN body ELSE line END, chr(10) ORDER BY n), ' ' || chr(10)) AS text,
+              arg_max(CASE WHEN kind = 'heading' OR (fence = 1 AND fences % 2 = 0) THEN start + length(line) WHEN next_start IS NULL THEN text_end ELSE next_start END, n)::INTEGER AS char_end FROM j WHERE kind <> 'blank' GROUP BY doc_id, grp)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS block, kind, level::INTEGER AS level, sha256(text) AS text_sha, char_start, char_end FROM k WHERE text <> ''""",
+)
+def segment_fenced(spark, sf_dir):
+    b = segment.blocks(fenced(spark, sf_dir))
+    return b.select("doc_id", F.col("block").cast("long").alias("block"), "kind", "level", T.sha(F.col("text")).alias("text_sha"), "char_start", "char_end")
+
+
 # packing block by block: a stack of headings, runs of blocks, pieces of long runs, small pieces folded
 _PACKED = f"""
     {_LINES},
@@ -683,6 +728,27 @@ def structural_boost(spark, sf_dir):
     return both.select("question_id", "unit_id", retrieval.boost().alias("boost"))
 
 
+@query(
+    "section_boost",
+    f"""WITH RECURSIVE {_PACKED},
+        held AS MATERIALIZED (SELECT unit_id, u.doc_id, u.text, u.kind, d.source, list_distinct({sql_content("array_to_string(path, ' ')")}) AS sections, {sql_content('u.text')} AS w FROM units_ u JOIN documents d USING (doc_id)),
+        {ASKED}, phrased AS (SELECT question_id, question, terms, {PHRASES} AS p FROM asked),
+        met AS (SELECT DISTINCT question_id, unit_id FROM (SELECT question_id, unnest(terms) AS term FROM asked) JOIN (SELECT unit_id, unnest(w) AS term FROM held) USING (term))
+        SELECT question_id, unit_id, round((CASE WHEN len(list_intersect(sections, terms)) > 0 THEN 0.22::DOUBLE * least(1.0::DOUBLE, 2.0::DOUBLE * len(list_intersect(sections, terms)) / greatest(1, len(terms))) ELSE 0 END)
+               + (CASE WHEN len(list_intersect({sql_content("replace(source, '_', ' ')")}, terms)) > 0 THEN 0.10 ELSE 0 END) + (CASE WHEN kind = 'table' THEN 0.06 ELSE 0 END)
+               + (CASE WHEN len(p) >= 3 AND len(list_filter(list_transform(range(0, greatest(len(p) - 2, 1)), lambda i: array_to_string(list_slice(p, i + 1, i + 3), ' ')), lambda x: contains(lower(text), x))) > 0 THEN 0.18 ELSE 0 END)
+               + (CASE WHEN regexp_matches(question, '{NUMERIC}') AND regexp_matches(text, '[0-9]') THEN 0.12 ELSE 0 END), 6)::DOUBLE AS boost
+        FROM met JOIN held USING (unit_id) JOIN phrased USING (question_id)""",
+)
+def section_boost(spark, sf_dir):
+    """R8 over packed units, whose section paths and tables it weighs."""
+    u, q = segment.units(headed(spark, sf_dir)), questions(spark, sf_dir)
+    u = ask_plan.keep(u)
+    pairs = retrieval.bm25(u, q).select("question_id", "unit_id")
+    both = pairs.join(retrieval.unit_features(u), "unit_id").join(retrieval.question_features(q), "question_id")
+    return both.select("question_id", "unit_id", retrieval.boost().alias("boost"))
+
+
 @query(
     "score_floor",
     f"""WITH {TOTALS}, r AS (SELECT *, lexical * (1 + boost) AS total, row_number() OVER (PARTITION BY question_id ORDER BY round(lexical * (1 + boost), 9) DESC, unit_id) AS rank FROM boosted),
@@ -712,8 +778,10 @@ def _picked_sql() -> str:
     {TOTALS.strip()},
     ranks AS (SELECT *, lexical * (1 + boost) AS total, row_number() OVER (PARTITION BY question_id ORDER BY round(lexical * (1 + boost), 9) DESC, unit_id) AS rank FROM boosted),
     floored AS (SELECT *, max(total) OVER (PARTITION BY question_id) AS best FROM ranks QUALIFY rank <= 40),
-    pool AS MATERIALIZED (SELECT question_id, unit_id, total, text, w, {sql_tokens('text')} AS cost, {sql_grams('w', 4)} AS g FROM floored f JOIN terms t ON t.doc_id::VARCHAR = f.unit_id WHERE total >= greatest(0.02, 0.15 * best)),
-    sims AS (SELECT a.question_id, a.unit_id, map(list(b.unit_id), list({sql_jaccard('a.g', 'b.g')})) AS like_ FROM pool a JOIN pool b USING (question_id) GROUP BY 1, 2),
+    pool AS MATERIALIZED (SELECT question_id, unit_id, total, text, w, {sql_tokens('text')} AS cost, list_transform({sql_grams('w', 4)}, lambda x: hash(x)) AS g FROM floored f JOIN terms t ON t.doc_id::VARCHAR = f.unit_id WHERE total >= greatest(0.02, 0.15 * best)),
+    held_grams AS (SELECT question_id, unit_id, len(g) AS n, unnest(g) AS x FROM pool),
+    shared_grams AS (SELECT question_id, a.unit_id AS a, b.unit_id AS b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM held_grams a JOIN held_grams b USING (question_id, x) GROUP BY 1, 2, 3),
+    sims AS (SELECT question_id, a AS unit_id, map(list(b), list(j)) AS like_ FROM shared_grams GROUP BY 1, 2),
     cand AS MATERIALIZED (SELECT question_id, unit_id, total, cost, like_ FROM pool JOIN sims USING (question_id, unit_id)),
     intents AS (SELECT *, {best} AS best FROM (SELECT question_id, question, {counts} FROM (SELECT question_id, question, ' ' || trim(lower(question)) || ' ' AS p FROM asked))),
     budgets AS MATERIALIZED (SELECT question_id, {first(policy.passages, 5)} AS most, ({first(policy.factors, 0.8)})::DOUBLE AS f, greatest(256, 4096 - 512 - 160 - ({sql_tokens('question')})) AS base FROM intents),
@@ -721,7 +789,7 @@ def _picked_sql() -> str:
               SELECT question_id, turn + 1, room - b.cost, list_append(picked, b.unit_id), b.unit_id, b.total, b.penalty
               FROM (SELECT question_id, any_value(turn) AS turn, any_value(room) AS room, any_value(picked) AS picked,
                            list({{'unit_id': unit_id, 'cost': cost, 'total': total, 'penalty': 0.35::DOUBLE * near_}} ORDER BY round(total - 0.35::DOUBLE * near_, 9) DESC, unit_id)[1] AS b
-                    FROM (SELECT p.question_id, turn, room, picked, c.unit_id, cost, total, coalesce(list_max(list_transform(picked, lambda x: c.like_[x])), 0)::DOUBLE AS near_
+                    FROM (SELECT p.question_id, turn, room, picked, c.unit_id, cost, total, coalesce(list_max(list_transform(picked, lambda x: coalesce(c.like_[x], 0))), 0)::DOUBLE AS near_
                           FROM picks p JOIN cand c ON c.question_id = p.question_id JOIN budgets d ON d.question_id = p.question_id
                           WHERE turn < most AND NOT list_contains(picked, c.unit_id) AND (turn = 0 OR cost <= room)) GROUP BY question_id))
     """
