@@ -212,9 +212,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PHRASES_SQL = """
     WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
     p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
-    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
-    s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-    g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM s, range(1, 6) t(k) WHERE i + k - 1 <= len(ws)),
+    w AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+    x AS (SELECT lang, id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+    y AS (SELECT lang, a, lead(a, 1) OVER v AS b, lead(a, 2) OVER v AS c, lead(a, 3) OVER v AS d, lead(a, 4) OVER v AS e FROM x WINDOW v AS (PARTITION BY id ORDER BY i)),
+    g AS (SELECT lang, 1 AS k, a AS phrase FROM y UNION ALL SELECT lang, 2, concat_ws(' ', a, b) FROM y WHERE b IS NOT NULL UNION ALL SELECT lang, 3, concat_ws(' ', a, b, c) FROM y WHERE c IS NOT NULL
+          UNION ALL SELECT lang, 4, concat_ws(' ', a, b, c, d) FROM y WHERE d IS NOT NULL UNION ALL SELECT lang, 5, concat_ws(' ', a, b, c, d, e) FROM y WHERE e IS NOT NULL),
     totals AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
     f AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
     cuts AS (SELECT c.lang, c.phrase, c.a, x.k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
@@ -234,13 +236,14 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NEAR_SQL = """
     WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-                              ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS grams FROM w),
-    g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+    x AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+    y AS (SELECT doc_id, a, lead(a, 1) OVER v AS b, lead(a, 2) OVER v AS c, lead(a, 3) OVER v AS d FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+    g AS MATERIALIZED (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, d) AS gram FROM y WHERE d IS NOT NULL UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+    n AS MATERIALIZED (SELECT w.doc_id, count(gram) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY 1),
     p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-    links AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 80 * (len(a.grams) + len(b.grams) - c)),
-    reach AS (SELECT doc_id AS id, doc_id AS other FROM s UNION SELECT id, y FROM reach JOIN links ON x = other)
-    SELECT doc_id, len(any_value(grams))::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM s JOIN reach ON id = doc_id GROUP BY doc_id
+    links AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    reach AS (SELECT doc_id AS id, doc_id AS other FROM n UNION SELECT id, y FROM reach JOIN links ON x = other)
+    SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM n JOIN reach ON id = doc_id GROUP BY doc_id
     """
 
 
