@@ -192,14 +192,14 @@ def numeric_signature(text: Column) -> Column:
 # -- T12 to T18 -------------------------------------------------------------------------
 
 
-def detect_language(text: Column) -> Column:
-    """Fr, en or und by marker words of the first 4,000 characters (the feature's own limit)."""
+def detect_language(text: Column, sample_chars: int | None = 4000) -> Column:
+    """Fr, en or und by marker words of a text's first `sample_chars` characters; None reads it whole."""
 
     def of(sample: Column) -> Column:
         count = lambda markers: F.size(F.filter(sample, lambda w: w.isin(*markers)))
         return F.sign(count(W.FRENCH_MARKERS) - count(W.ENGLISH_MARKERS))
 
-    lead = let(words(F.substring(text, 1, 4000)), of)
+    lead = let(words(text if sample_chars is None else F.substring(text, 1, sample_chars)), of)
     return F.when(lead == 0, "und").when(lead > 0, "fr").otherwise("en")
 
 

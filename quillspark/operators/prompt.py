@@ -32,17 +32,19 @@ def refusal(question: Column) -> Column:
 
 
 def render_evidence(evidence: DataFrame, questions: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """question_id, excerpts, labels; blocks in pick order up to the first that does not fit."""
+    """question_id, excerpts, labels and left_out; blocks in pick order up to the first that does not fit
+    into `most_chars`, and how many did not."""
     path = F.when(F.size("section_path") > 0, F.concat(F.lit(" > "), F.array_join("section_path", " > "))).otherwise("")
     block = F.concat(F.lit("["), "label", F.lit("] "), "document_name", path, F.lit("\n"), T.strip(F.col("text")))
     order = Window.partitionBy("question_id").orderBy("pick")
     rows = evidence.select("question_id", "pick", "label", block.alias("block"))
-    rows = rows.withColumn("chars", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("chars") <= most_chars)
-    kept = F.sort_array(F.collect_list(F.struct("pick", "label", "block")))
-    grouped = rows.groupBy("question_id").agg(kept.alias("kept"))
-    shown = grouped.select("question_id", F.array_join(F.transform("kept", lambda x: x["block"]), "\n\n").alias("excerpts"), F.transform("kept", lambda x: x["label"]).alias("labels"))
+    rows = rows.withColumn("fits", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= most_chars)
+    kept = F.sort_array(F.collect_list(F.when(F.col("fits"), F.struct("pick", "label", "block"))))
+    grouped = rows.groupBy("question_id").agg(kept.alias("kept"), F.count_if(~F.col("fits")).alias("left_out"))
+    joined = lambda c, x: F.when(F.size("kept") > 0, x).alias(c)
+    shown = grouped.select("question_id", joined("excerpts", F.array_join(F.transform("kept", lambda x: x["block"]), "\n\n")), F.transform("kept", lambda x: x["label"]).alias("labels"), "left_out")
     out = questions.join(shown, "question_id", "left")
-    return out.withColumns({"excerpts": F.coalesce("excerpts", F.lit(NO_EVIDENCE)), "labels": F.coalesce("labels", F.array().cast("array<string>"))})
+    return out.withColumns({"excerpts": F.coalesce("excerpts", F.lit(NO_EVIDENCE)), "labels": F.coalesce("labels", F.array().cast("array<string>")), "left_out": F.coalesce("left_out", F.lit(0))})
 
 
 def build_prompt(rendered: DataFrame, context_tokens: int = 4096, output_tokens: int = 512) -> DataFrame:

@@ -50,9 +50,9 @@ def _empty_files(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
     return listed.select("path", F.timestamp_seconds("seconds").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
-def describe(files: DataFrame) -> DataFrame:
-    """Checksum, descriptor id and an error code for files that cannot be read."""
-    error = F.when(~F.col("suffix").isin(*SUFFIXES), "ING-001").when(F.col("size_bytes") == 0, "ING-005").when(F.col("size_bytes") > MOST_BYTES, "ING-006")
+def describe(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Checksum, descriptor id and an error code for files that cannot be read; ING-006 is a file of more than `most_bytes`."""
+    error = F.when(~F.col("suffix").isin(*SUFFIXES), "ING-001").when(F.col("size_bytes") == 0, "ING-005").when(F.col("size_bytes") > most_bytes, "ING-006")
     checked = files.withColumns({"file_checksum": F.sha2("content", 256), "error": error})
     return checked.withColumn("descriptor_id", T.artifact_id("docume", "DocumentDescriptor", F.col("path"), F.col("file_checksum")))
 

@@ -127,6 +127,16 @@ def test_validation(spark):
     assert got[2].invalid_labels == ["S9"] and len(got[2].unsupported) == 1 and len(got[2].warnings) == 3
 
 
+def test_evidence_beyond_the_bound_is_counted(spark):
+    rows = [(1, k, f"S{k}", "d", ["A", "B"], "x" * 50) for k in (1, 2, 3)] + [(2, 1, "S1", "d", [], "y" * 500)]
+    e = spark.createDataFrame(rows, "question_id long, pick int, label string, document_name string, section_path array<string>, text string")
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "question_id long, question string")
+    got = {r.question_id: r for r in prompt.render_evidence(e, q, most_chars=140).collect()}
+    assert (got[1].labels, got[1].left_out, got[1].excerpts[:17]) == (["S1", "S2"], 1, "[S1] d > A > B\nxx")
+    assert (got[2].labels, got[2].left_out, got[2].excerpts) == ([], 1, prompt.NO_EVIDENCE)
+    assert (got[3].left_out, got[3].excerpts) == (0, prompt.NO_EVIDENCE)
+
+
 def test_statistics(spark):
     data = [("m", 1.0), ("m", 2.0), ("m", 3.0), ("m", None), ("m", float("nan")), ("none", None)]
     got = {r.metric: r for r in metrics.aggregate(spark.createDataFrame(data, "metric string, value double")).collect()}
