@@ -2,7 +2,7 @@
 
 Two units are alike where bucket (shortest content word) and figures are equal and their sets of
 four-word grams have a Jaccard similarity of `alike` or more. Such sets share all but a few grams, so
-a unit without a shared gram among its few smallest hashes is out at once. Of the rest a unit stays
+a unit with few shared grams among its smallest hashes is out at once. Of the rest a unit stays
 if enough of its grams occur in other units at all, and meets others over the rarest of them only:
 a passage that many units hold makes no pairs unless units consist of it.
 
@@ -15,7 +15,7 @@ The first undecided unit always is, so a group takes as many rounds as its longe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,6 +23,7 @@ from ..plans.keep import keep
 from .retrieval import sized
 
 ORDER = ("doc_id", "ordinal")
+FIRST = 16  # common grams, in order of their hashes, that a unit must show before all its grams are looked at
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def fingerprints(units: DataFrame) -> DataFrame:
 
     def of(w: Column) -> Column:
         shortest = F.array_min(F.transform(w, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i + 1, 4)))
+        runs = F.transform(F.slice(w, 1, F.size(w) - 3), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in (1, 2, 3)]))
         grams = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < 4, F.array(F.xxhash64(w))).otherwise(F.sort_array(F.array_distinct(runs)))
         return F.struct(shortest.alias("bucket"), grams.alias("grams"))
 
@@ -55,16 +56,20 @@ def _shared(cells: DataFrame) -> DataFrame:
 
 def pairs(units: DataFrame, alike: float = 0.92) -> DataFrame:
     """a before b, alike: their ids and tokens, bucket, figures and jaccard. Exact."""
-    rows = keep(fingerprints(units).where("n > 0"))
-    first = _cells(rows, F.slice("grams", 1, F.col("n") - _least_shared(F.col("n"), alike) + 1))
-    hopeful = first.join(sized(keep(_shared(first).select("cell"))), "cell", "left_semi").select(*ORDER).distinct()
+    # a condition on what was made of a text would be tried on the text itself, and make it all twice
+    rows = keep(fingerprints(units)).where("n > 0")
+    # sets alike differ in n - least at most: their first FIRST common grams are among so many more of each
+    least = _least_shared(F.col("n"), alike)
+    first = _cells(rows, F.slice("grams", 1, F.col("n") - least + FIRST))
+    common = first.join(sized(keep(_shared(first).select("cell"))), "cell", "left_semi").groupBy(*ORDER).agg(F.max("n").alias("n"), F.count("*").alias("common"))
+    hopeful = common.where(F.col("common") >= F.least(F.lit(FIRST), least)).select(*ORDER)
     rows = keep(rows.join(sized(keep(hopeful)), list(ORDER), "left_semi"))
     every = _cells(rows, F.col("grams"))
     # a unit's grams that others hold, the rarest first; those of its own come before them and meet nobody
-    held = every.join(sized(keep(_shared(every))), "cell").groupBy(*ORDER).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("held"))
-    least, s = _least_shared(F.col("n"), alike), F.size("held")
-    placed = held.where(s >= least).select(*ORDER, "n", (F.col("n") - s).alias("own"), F.posexplode(F.slice("held", 1, s - least + 1)).alias("at", "x"))
-    placed = keep(placed.select(*ORDER, "n", "x.cell", (F.col("own") + F.col("at")).alias("at")))
+    unit = Window.partitionBy(*ORDER).orderBy("df", "cell")
+    held = every.join(sized(keep(_shared(every))), "cell").withColumns({"place": F.row_number().over(unit), "held": F.count("*").over(unit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    placed = held.where((F.col("held") >= least) & (F.col("place") <= F.col("held") - least + 1))
+    placed = keep(placed.select(*ORDER, "n", "cell", (F.col("n") - F.col("held") + F.col("place") - 1).alias("at")))
     side = lambda s, *more: [F.col(c).alias(f"{s}_{c}") for c in (*ORDER, *more)]
     a, b = placed.select("cell", *side("a", "n", "at")), placed.select("cell", *side("b", "n", "at"))
     before = F.struct("a_doc_id", "a_ordinal") < F.struct("b_doc_id", "b_ordinal")
@@ -76,8 +81,9 @@ def pairs(units: DataFrame, alike: float = 0.92) -> DataFrame:
     for s in "ab":
         met = met.join(rows.select(*side(s, "token_estimate", "grams", "bucket", "figures")), [f"{s}_{c}" for c in ORDER])
     met = met.where((F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_figures") == F.col("b_figures")))
-    met = met.withColumn("jaccard", T.jaccard(F.col("a_grams"), F.col("b_grams"))).where(F.col("jaccard") >= alike)
-    return met.select(F.col("a_bucket").alias("bucket"), F.col("a_figures").alias("figures"), *[f"{s}_{c}" for s in "ab" for c in (*ORDER, "token_estimate")], "jaccard")
+    met = met.withColumn("common", F.array_size(F.array_intersect("a_grams", "b_grams"))).withColumn("jaccard", F.col("common") / (F.array_size("a_grams") + F.array_size("b_grams") - F.col("common")))
+    like = F.explode(F.filter(F.array("jaccard"), lambda j: j >= alike)).alias("jaccard")
+    return met.select(F.col("a_bucket").alias("bucket"), F.col("a_figures").alias("figures"), *[f"{s}_{c}" for s in "ab" for c in (*ORDER, "token_estimate")], like)
 
 
 def settle(alike: DataFrame) -> tuple[DataFrame, int]:
