@@ -12,7 +12,7 @@ from ..functions import words as W
 from ..functions.runs import cut
 from ..plans.keep import keep
 from . import neardup
-from .retrieval import sized
+from .retrieval import few, sized
 
 # -- intent -----------------------------------------------------------------------------
 
@@ -121,18 +121,43 @@ class CompactPolicy:
 ORDER = neardup.ORDER
 
 
+def marks(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
+    """Units with what compaction asks of their texts: noise, content_key, figures, bucket, grams and chars.
+
+    Content words are found once for all of it. To be written before it is read: a condition on a mark would be
+    tried on the text itself. The steps below take marks where units bring them, and texts where not.
+    """
+    of = lambda w: F.struct(F.size(w).alias("n"), _key(w).alias("content_key"), *neardup.fingerprint(w))
+    rows = units.withColumns({"found": T.let(T.content_words(F.col("text")), of), "boiler": _boilerplate(T.strip(F.col("text"))), "figures": T.numeric_signature(F.col("text")), "chars": F.length("text")})
+    noise = F.col("boiler") | ((F.col("found.n") < p.least_words) & (F.col("kind") != "table"))
+    return rows.select(*units.columns, noise.alias("noise"), "found.content_key", "figures", "found.bucket", "found.grams", "chars")
+
+
+MARKS = ("noise", "content_key", "figures", "bucket", "grams", "chars")
+
+
+def _boilerplate(body: Column) -> Column:
+    out = F.lit(False)
+    for pattern in W.BOILERPLATE:
+        out = out | body.rlike("(?iU)" + pattern)
+    return out
+
+
 def drop_noise(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
     """Boilerplate lines and units of few content words go; tables stay."""
+    if "noise" in units.columns:
+        return units.where("NOT noise")
     body = T.strip(F.col("text"))
-    boiler = F.lit(False)
-    for pattern in W.BOILERPLATE:
-        boiler = boiler | body.rlike("(?iU)" + pattern)
     thin = (F.size(T.content_words(body)) < p.least_words) & (F.col("kind") != "table")
-    return units.where(~boiler & ~thin)
+    return units.where(~_boilerplate(body) & ~thin)
+
+
+def _key(content: Column) -> Column:
+    return F.sha2(F.array_join(content, " "), 256)
 
 
 def content_key(text: Column) -> Column:
-    return F.sha2(F.array_join(T.content_words(text), " "), 256)
+    return _key(T.content_words(text))
 
 
 def drop_exact(units: DataFrame) -> DataFrame:
@@ -140,9 +165,18 @@ def drop_exact(units: DataFrame) -> DataFrame:
 
     The first of each key is a min aggregate, combined before the shuffle; a window would bring all
     units of a key to one task. The ids of the firsts are written, so that no reader of what is left splits
-    texts again for them.
+    texts again for them. Units that bring their keys meet the keys that repeat, where these are few enough to
+    be broadcast: then no unit is shuffled.
     """
-    keyed = units.select(*ORDER, content_key(F.col("text")).alias("content_key"))
+    if "content_key" in units.columns:
+        repeated = units.groupBy("content_key").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n"))
+        repeated = keep(repeated.where("n > 1").select("content_key", "first"))
+        if few(repeated):
+            met = units.join(F.broadcast(repeated), "content_key", "left")
+            return met.where(F.col("first").isNull() | (F.col("first") == F.struct(*ORDER))).select(*units.columns)
+        keyed = units.select(*ORDER, "content_key")
+    else:
+        keyed = units.select(*ORDER, content_key(F.col("text")).alias("content_key"))
     first = keep(keyed.groupBy("content_key").agg(F.min(F.struct(*ORDER)).alias("first")).select("first.*"))
     return units.join(sized(first), list(ORDER), "left_semi")
 
@@ -155,20 +189,22 @@ def near_pairs(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFram
 def drop_near(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
     """C4: each unit in turn meets the first kept one like it; the one with fewer tokens goes."""
     gone, _ = neardup.settle(near_pairs(units, p))
-    return units.join(gone, list(ORDER), "left_anti")
+    return units.join(sized(gone), list(ORDER), "left_anti")
 
 
-def merge_fragments(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
-    """Small units that follow each other in one section of one document are joined.
+def _fragments(units: DataFrame, fields: list[str], p: CompactPolicy) -> DataFrame:
+    """doc_id and run: units (fields, chars, words) that become one.
 
     Units of one path in a row are folded by their lengths: a unit joins the one before where both,
     as far as they have grown, hold fewer tokens than a fragment.
     """
-    fields = ["ordinal", "unit_id", "kind", "text", "section_path", "token_estimate", "char_start", "char_end", "heading_level", "document_name"]
+    text = F.col("text") if "text" in units.columns else None
+    chars = F.col("chars") if "chars" in units.columns else F.length(text)
+    words = F.col("words") if "words" in units.columns else T.word_total(text)
     w = Window.partitionBy("doc_id").orderBy("ordinal")
     fresh = ~F.coalesce(F.lag("section_path").over(w) == F.col("section_path"), F.lit(False))
     rows = units.withColumn("fresh", fresh.cast("int")).withColumn("stretch", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    sizes = [F.length("text").alias("chars"), F.regexp_count("text", F.lit(r"(?U)[^\s\x1c-\x1f]+")).alias("words")]
+    sizes = [chars.alias("chars"), words.alias("words")]
     rows = rows.groupBy("doc_id", "stretch").agg(F.sort_array(F.collect_list(F.struct(*fields, *sizes))).alias("rows"))
     empty = F.struct(*[F.lit(0).alias(c) for c in ("chars", "words", "tokens")])
 
@@ -178,13 +214,28 @@ def merge_fragments(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> Dat
         return F.when(joined, both).otherwise(F.struct(x["chars"].alias("chars"), x["words"].alias("words"), x["token_estimate"].alias("tokens")))
 
     runs = cut(F.col("rows"), empty, lambda s, x: F.greatest(s["tokens"], x["token_estimate"]) < p.fragment, grown)
-    out = rows.select("doc_id", F.explode(runs).alias("run"))
+    return rows.select("doc_id", F.explode(runs).alias("run"))
+
+
+def merge_fragments(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
+    """Small units that follow each other in one section of one document are joined."""
+    fields = ["ordinal", "unit_id", "kind", "text", "section_path", "token_estimate", "char_start", "char_end", "heading_level", "document_name"]
+    out = _fragments(units, fields, p)
     first, last = F.get("run", F.lit(0)), F.get("run", F.size("run") - 1)
     text = F.array_join(F.transform("run", lambda x: x["text"]), "\n")
     out = out.select("doc_id", *[(text if c == "text" else last[c] if c == "char_end" else first[c]).alias(c) for c in fields], (F.size("run") > 1).alias("joined"))
     return out.withColumn("token_estimate", F.when(F.col("joined"), T.token_count(F.col("text"))).otherwise(F.col("token_estimate"))).drop("joined")
 
 
+def merged_sizes(units: DataFrame, p: CompactPolicy = CompactPolicy()) -> DataFrame:
+    """doc_id, unit_id and token_estimate of merge_fragments(), without the texts: units bring chars and words."""
+    out = _fragments(units, ["ordinal", "unit_id", "token_estimate"], p)
+    first = F.get("run", F.lit(0))
+    total = lambda c: F.aggregate("run", F.lit(0), lambda a, x: a + x[c])
+    # a line end stands between texts
+    return out.select("doc_id", first["unit_id"].alias("unit_id"), F.when(F.size("run") > 1, T.tokens_of(total("chars") + F.size("run") - 1, total("words"))).otherwise(first["token_estimate"]).alias("token_estimate"))
+
+
 def compression_ratio(tokens_in: Column, tokens_out: Column) -> Column:
     """C7."""
     return F.when(tokens_in <= 0, 0.0).otherwise(F.round(1 - tokens_out / tokens_in, 4))

@@ -26,17 +26,22 @@ ORDER = ("doc_id", "ordinal")
 FIRST = 16  # common grams, in order of their hashes, that a unit must show before all its grams are looked at
 
 
-def fingerprints(units: DataFrame) -> DataFrame:
-    """Bucket, figures and sorted hashed grams of each unit, its words found once; without words no grams."""
+def fingerprint(w: Column) -> tuple[Column, Column]:
+    """Bucket and sorted hashed grams of a unit's content words; without words no grams."""
+    shortest = F.array_min(F.transform(w, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
+    runs = F.transform(F.slice(w, 1, F.size(w) - 3), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in (1, 2, 3)]))
+    grams = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < 4, F.array(F.xxhash64(w))).otherwise(F.sort_array(F.array_distinct(runs)))
+    return shortest.alias("bucket"), grams.alias("grams")
 
-    def of(w: Column) -> Column:
-        shortest = F.array_min(F.transform(w, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
-        runs = F.transform(F.slice(w, 1, F.size(w) - 3), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in (1, 2, 3)]))
-        grams = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < 4, F.array(F.xxhash64(w))).otherwise(F.sort_array(F.array_distinct(runs)))
-        return F.struct(shortest.alias("bucket"), grams.alias("grams"))
 
-    rows = units.select(*ORDER, "token_estimate", T.numeric_signature(F.col("text")).alias("figures"), T.let(T.content_words(F.col("text")), of).alias("print"))
-    return rows.select(*ORDER, "token_estimate", "figures", "print.bucket", "print.grams", F.size("print.grams").alias("n"))
+def fingerprints(units: DataFrame) -> DataFrame:
+    """Bucket, figures and sorted hashed grams of each unit, its words found once, or not again where units bring them."""
+    rows = units
+    if "grams" not in units.columns:
+        of = lambda w: F.struct(*fingerprint(w))
+        rows = units.select(*ORDER, "token_estimate", T.numeric_signature(F.col("text")).alias("figures"), T.let(T.content_words(F.col("text")), of).alias("print"))
+        rows = rows.select(*ORDER, "token_estimate", "figures", "print.*")
+    return rows.select(*ORDER, "token_estimate", "figures", "bucket", "grams", F.size("grams").alias("n"))
 
 
 def _least_shared(n: Column, alike: float) -> Column:
