@@ -62,7 +62,8 @@ def _shared(cells: DataFrame) -> DataFrame:
 def pairs(units: DataFrame, alike: float = 0.92) -> DataFrame:
     """a before b, alike: their ids and tokens, bucket, figures and jaccard. Exact."""
     # a condition on what was made of a text would be tried on the text itself, and make it all twice
-    rows = keep(fingerprints(units)).where("n > 0")
+    rows = fingerprints(units)
+    rows = (rows if "grams" in units.columns else keep(rows)).where("n > 0")  # units bring what is written already
     # sets alike differ in n - least at most: their first FIRST common grams are among so many more of each
     least = _least_shared(F.col("n"), alike)
     first = _cells(rows, F.slice("grams", 1, F.col("n") - least + FIRST))
